@@ -50,7 +50,7 @@ def fnv1a(text: Column) -> Column:
     times the prime, which is 2^40 + 435, is a product by 435 and a shift of the low half.
     """
     digits = F.hex(text.cast("binary"))
-    octets = F.transform(F.filter(F.sequence(F.lit(0), F.length(digits) / 2), lambda i: i >= 1), lambda i: F.conv(F.substring(digits, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    octets = F.transform(F.filter(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int")), lambda i: i >= 1), lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
     start = F.struct(F.lit(FNV_OFFSET >> 32).cast("long").alias("hi"), F.lit(FNV_OFFSET & _LOW).cast("long").alias("lo"))
     small = FNV_PRIME - (1 << 40)
 

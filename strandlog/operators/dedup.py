@@ -7,13 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandlog.runtime import create_exclusive, delete_path, full_uri, list_names, read_text
+from strandlog.runtime import create_exclusive, delete_path, fields, full_uri, list_names, read_text
 
 _ROW = "prefix int, hash long, id string, time long, row long"
-_LOCAL = T.StructType.fromDDL(_ROW + ", lost boolean")
-_RESULT = T.StructType.fromDDL("row long, prefix int, file string")
+_LOCAL = fields(_ROW + ", lost boolean")
+_RESULT = fields("row long, prefix int, file string")
 
 
 def _repeats(ids):

@@ -8,15 +8,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandlog.runtime import block_of, create_exclusive, full_uri, list_names, read_text
+from strandlog.runtime import block_of, create_exclusive, fields, full_uri, list_names, read_text
 
 #: Sequence numbers per block.  Work on a stream is split into blocks of this many numbers.
 BLOCK = 4096
 
-_SEGMENT = T.StructType.fromDDL("stream string, first long, last long, seen long")
-_PENDING = T.StructType.fromDDL("stream string, number long")
+_SEGMENT = fields("stream string, first long, last long, seen long")
+_PENDING = fields("stream string, number long")
 
 
 def cut_claims(claims: DataFrame, bounds: DataFrame, block: int = BLOCK) -> DataFrame:

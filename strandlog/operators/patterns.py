@@ -6,9 +6,8 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandlog.runtime import Scratch, block_of
+from strandlog.runtime import Scratch, block_of, fields
 
 #: Order numbers per block when a long sequence is cut for the first reduction.
 BLOCK = 32_768
@@ -17,9 +16,9 @@ FAN = 16
 #: Prefixes that one pass over the sequences grows; more are grown in several passes.
 PREFIXES_A_PASS = 20_000
 
-_POINT = T.StructType.fromDDL("seq string, block long, ord long, code int")
-_SEQUENCE = T.StructType.fromDDL("codes array<int>")
-_COUNT = T.StructType.fromDDL("prefix int, code int, n long")
+_POINT = fields("seq string, block long, ord long, code int")
+_SEQUENCE = fields("codes array<int>")
+_COUNT = fields("prefix int, code int, n long")
 
 
 def _useful(n_codes: int, longest: int):

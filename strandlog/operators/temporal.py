@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.functions.text import wildcard_match
-from strandlog.runtime import block_of
-
-#: Versions per block of an as-of join.
-BLOCK = 65_536
+from strandlog.runtime import block_of, running_by_slots
 
 
 def _options(rows: DataFrame, direction: str, limit: int | None) -> DataFrame:
@@ -52,21 +49,13 @@ def versions_as_of(log: DataFrame, requests: DataFrame, slot_us: int = 3_600_000
     """An as-of join: for each request (``stream_id, at``) the largest version with epoch_us <= at, or -1.
 
     Clocks run back now and then, so the largest version up to a time is a running
-    maximum over time, not the version of the latest reading.  Streams are cut into slots of
-    ``slot_us`` of time: inside a slot a window gives the running maximum, and the maximum
-    of all slots before it is a second running maximum over one row per slot.  So no task
-    sees a whole hot stream.  Repeated requests are answered once each; null ones with -1.
+    maximum over time, not the version of the latest reading, taken by slots of ``slot_us``
+    so that no task sees a whole hot stream.  Repeated requests are answered once each; null ones with -1.
     """
     slot = block_of("at", slot_us)
     ask = requests.select("stream_id", "at").distinct()
     marks = log.select("stream_id", F.col("epoch_us").alias("at"), "version").where("stream_id is not null and at is not null").unionByName(ask.where("stream_id is not null and at is not null").select("stream_id", "at", F.lit(None).cast("long").alias("version")))
-    marks = marks.withColumn("slot", slot)
-    whole = marks.groupBy("stream_id", "slot").agg(F.max("version").alias("top"))
-    before = F.max("top").over(Window.partitionBy("stream_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    whole = whole.select(F.col("stream_id").alias("w_stream"), F.col("slot").alias("w_slot"), before.alias("before"))
-    upto = F.max("version").over(Window.partitionBy("stream_id", "slot").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
-    inside = marks.withColumn("upto", upto).where("version is null")
-    answered = inside.join(whole, (F.col("stream_id") == F.col("w_stream")) & (F.col("slot") == F.col("w_slot")))
-    answered = answered.select("stream_id", "at", F.coalesce(F.greatest("upto", "before"), F.lit(-1)).alias("version"))
+    marks = running_by_slots(marks.withColumn("slot", slot), "stream_id", "slot", ["at"], {"upto": ("max", "version")})
+    answered = marks.where("version is null").select("stream_id", "at", F.coalesce("upto", F.lit(-1)).alias("version"))
     rest = ask.where("stream_id is null or at is null").select("stream_id", "at", F.lit(-1).cast("long").alias("version"))
     return answered.unionByName(rest)

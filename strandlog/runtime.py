@@ -8,12 +8,25 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHARED_DIR_SETTING = "spark.checkpoint.dir"
 
 
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "double": T.DoubleType(),
+    "array<int>": T.ArrayType(T.IntegerType()), "array<string>": T.ArrayType(T.StringType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def fields(text: str) -> T.StructType:
+    """A schema from ``"name type, ..."`` without a running session, so that modules can hold schemas."""
+    pairs = [part.strip().split(" ", 1) for part in text.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named by ``spark.checkpoint.dir``.
 
@@ -176,3 +189,45 @@ def full_uri(spark: SparkSession, path: str) -> str:
     """The path with its scheme, for libraries that open files on executors."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def running_by_slots(df: DataFrame, key: str, slot: str, order: list[Column | str], values: dict[str, tuple[str, str]]) -> DataFrame:
+    """Running sums or maxima within ``key`` in ``order``, added as columns, with a hot key spread by slots.
+
+    ``slot`` is a whole number that rises with the order (a block of it); ``values`` maps a new
+    column to ("sum" or "max", input column).  A task sees one slot of a key; what came
+    before the slot is carried from a running result over one row per slot.  Rows with equal
+    order get the result of all of them.
+    """
+    fold = {"sum": F.sum, "max": F.max}
+    inside = Window.partitionBy(key, slot).orderBy(*order)
+    earlier = Window.partitionBy("__key").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    per_slot = df.groupBy(F.col(key).alias("__key"), F.col(slot).alias("__slot")).agg(*[fold[k](c).alias(f"__{n}") for n, (k, c) in values.items()])
+    carried = per_slot.select("__key", "__slot", *[fold[k](f"__{n}").over(earlier).alias(f"__before_{n}") for n, (k, _) in values.items()])
+    out = df.withColumns({n: fold[k](c).over(inside) for n, (k, c) in values.items()})
+    out = out.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col(slot) == F.col("__slot")))
+    zero = F.lit(0)
+    both = {n: (F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"__before_{n}"), zero)) if k == "sum" else F.greatest(F.col(n), F.col(f"__before_{n}")) for n, (k, _) in values.items()}
+    return out.withColumns(both).select(*df.columns, *values)
+
+
+def numbered_within(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the row's place (from 0) within its ``key`` by ``order``, whatever the size of a group.
+
+    Rows are range-partitioned by key and order and written with their place in the
+    partition; counts per partition make the places global, and the first place of a key is
+    taken off.  ``order`` should decide between all rows of a key.
+    """
+    scratch = Scratch(df.sparkSession, "numbered")
+    rows = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    rows = scratch.write(rows.withColumn("__place", F.monotonically_increasing_id()), "rows")
+    part = F.shiftright("__place", 33)
+    counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts += [F.lit(p), F.lit(total).cast("long")]
+        total += n
+    base = F.create_map(*starts)[part] if starts else F.lit(None).cast("long")
+    rows = rows.withColumn("__place", base + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = rows.groupBy(F.col(key).alias("__key")).agg(F.min("__place").alias("__first"))
+    return rows.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, F.col("__place") - F.col("__first")).select(*df.columns, name)

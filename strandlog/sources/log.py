@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from strandlog.runtime import fields, numbered_within
 from strandlog.sources.tables import table
 
 #: Columns of the canonical log.  ``data`` is JSON text; ``timestamp_ms`` and ``epoch_us`` are server clocks.
-EVENT_SCHEMA = T.StructType.fromDDL(
+EVENT_SCHEMA = fields(
     "stream_id string, version long, event_id string, event_type string, data string, metadata map<string,string>, tags array<string>, "
     "timestamp_ms long, epoch_us long, causation_id string, correlation_id string"
 )
@@ -42,10 +42,9 @@ def event_log(spark: SparkSession, folder: str, columns: list[str] | None = None
 
 def from_user_events(events: DataFrame) -> DataFrame:
     """The ``events`` table (a plain feed of user actions) as a log: one stream per user in time order."""
-    w = "row_number() over (partition by user_id order by ts, event_id)"
-    return events.select(
+    return numbered_within(events, "user_id", ["ts", "event_id"], "__version").select(
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("stream_id"),
-        F.expr(f"cast({w} - 1 as bigint)").alias("version"),
+        F.col("__version").alias("version"),
         F.col("event_id").cast("string").alias("event_id"),
         "event_type",
         F.to_json(F.struct(F.col("value"), F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("data"),
@@ -82,3 +81,23 @@ def write_log(log: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
 def stream_bucket(spark: SparkSession, stream_id: str, buckets: int) -> int:
     """The bucket that holds a stream, as a literal, so that partition pruning can use it."""
     return spark.range(1).select(F.pmod(F.xxhash64(F.lit(stream_id)), F.lit(buckets))).first()[0]
+
+
+def from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Orders and their lines as a log: version 0 is the order, then its lines; amounts are tagged sums."""
+    head = orders.select(
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("stream_id"), F.lit(0).cast("long").alias("version"), F.lit("OrderPlaced").alias("event_type"),
+        F.to_json(F.struct(F.col("o_orderstatus").alias("status"))).alias("data"), F.array(F.concat(F.lit("cust:"), F.col("o_custkey").cast("string"))).alias("tags"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("epoch_us"),
+    )
+    amount = F.struct(F.round("l_extendedprice", 2).cast("decimal(18,2)").alias("sum"))
+    quantity = F.struct(F.col("l_quantity").cast("decimal(18,2)").alias("sum"))
+    line = lineitem.select(
+        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("stream_id"), F.col("l_linenumber").cast("long").alias("version"), F.lit("LineAdded").alias("event_type"),
+        F.to_json(F.struct(amount.alias("amount"), quantity.alias("quantity"), F.struct(F.col("l_linestatus").alias("overwrite")).alias("status"))).alias("data"),
+        F.array(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")), F.concat(F.lit("supp:"), F.col("l_suppkey").cast("string"))).alias("tags"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("epoch_us"),
+    )
+    both = head.unionByName(line)
+    return both.select(
+        "stream_id", "version", F.concat("stream_id", F.lit("/"), F.col("version").cast("string")).alias("event_id"), "event_type", "data", F.create_map().cast("map<string,string>").alias("metadata"), "tags",
+        F.expr("epoch_us div 1000").alias("timestamp_ms"), "epoch_us", F.when(F.col("version") > 0, F.concat("stream_id", F.lit("/"), (F.col("version") - 1).cast("string"))).alias("causation_id"), F.col("stream_id").alias("correlation_id"),
+    )
