@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlog.llm.tokenizer import VOCABULARY, VOCABULARY_DIR, count_tokens
-from strandlog.runtime import Scratch
+from strandlog.runtime import Scratch, fields
 
 TIERS = (512, 2048, 8192)
 #: Windows of the largest size that make one step group; smaller windows count by their size.
@@ -180,7 +180,7 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, tiers=TIERS, group
     capacity = max(tiers)
     sized = count_tokens(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", directory, name).withColumnRenamed("n_tokens", "total")
     id_field = T.StructField("id", df.schema[id_col].dataType)
-    items = scratch.write(sized.mapInArrow(_items(capacity), T.StructType([id_field, *T.StructType.fromDDL(_ITEM)])), "items")
+    items = scratch.write(sized.mapInArrow(_items(capacity), T.StructType([id_field, *fields(_ITEM)])), "items")
     per_part = items.groupBy("part", "n_tokens").agg((F.max("local_rank") + 1).alias("n"))
     per_part = scratch.write(per_part, "counts")
     histogram = {r.n_tokens: r.n for r in per_part.where("n_tokens > 0").groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlog.runtime import fields
+
 #: Folder of the public vocabularies.  A parameter everywhere; the files are not part of this repository.
 VOCABULARY_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -312,7 +314,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, directory: str = VO
     # The row's own number stands for the row; ids need be neither unique nor present.
     numbered = df.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     piece = T.StructType([T.StructField("doc", T.LongType()), T.StructField("id", id_type), T.StructField("seq", T.IntegerType())])
-    chunk = T.StructType([*piece, *T.StructType.fromDDL("digest binary, salt int, body string, ids binary")])
+    chunk = T.StructType([*piece, *fields("digest binary, salt int, body string, ids binary")])
     cut = numbered.mapInArrow(_chunk(vocabulary, code), chunk)
     sent = cut.repartition("digest", "salt").sortWithinPartitions("digest", "salt", F.col("body").isNull())
     encoded = sent.mapInArrow(_encode_once(vocabulary, code), T.StructType([*piece, T.StructField("ids", T.BinaryType())]))
