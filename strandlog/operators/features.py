@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.runtime import heavy_keys, key_hash, salt_for
+from strandlog.runtime import Scratch, heavy_keys, key_hash, salt_for
 
 MAX_TYPES = 3000
 TOTAL_TYPE = "decimal(28,6)"
@@ -59,6 +59,8 @@ def entity_features(
     a run of a type becomes its counters, the runs of an entity become its wide row.  Only
     the partial rows of split entities (at most ``salts`` each) are merged by another exchange.
     """
+    if layout not in ("wide", "map"):
+        raise ValueError("layout is 'wide' or 'map'")
     _, heavy = heavy_keys(df, [entity_col], heavy_share)
     rows = df.where(F.col(event_col).isNotNull()).select(
         F.col(entity_col).alias("__e"),
@@ -70,38 +72,36 @@ def entity_features(
     # Copies of an event are first reduced where they are read; a third of all rows may be one event.
     rows = rows.groupBy("__e", "__salt", "__t", "__id").agg(F.min("__row").alias("__row"))
     bucketed = rows.repartition("__e", "__salt").sortWithinPartitions("__e", "__salt", "__t", "__id")
-    runs = bucketed.groupBy("__e", "__salt", "__t").agg(
-        F.count(F.lit(1)).alias("n"), F.max("__row.time").alias("last"), F.sum("__row.amount").alias("total")
-    )
-    whole = [F.sum("n").alias("n_events"), F.max("last").alias("last_time"), F.sum("total").alias("total"), F.coalesce(F.sum(F.when(F.col("__t").isNull(), F.col("n"))), F.lit(0)).alias("n_untyped")]
-    if layout == "map":
-        per_type = runs if not heavy else None
-        if per_type is None:
-            split = key_hash("__e").isin(heavy)
-            merged = runs.where(split).groupBy("__e", "__t").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.sum("total").alias("total"))
-            per_type = runs.where(~split).drop("__salt").unionByName(merged)
-        entry = F.struct("__t", F.struct("n", F.col("last").alias("last_time"), F.col("total").cast("decimal(38,6)").alias("total")))
-        out = per_type.groupBy("__e").agg(*whole, F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("__t").isNotNull(), entry)))).alias("features"))
-        return out.withColumnRenamed("__e", entity_col)
-    if layout != "wide":
-        raise ValueError("layout is 'wide' or 'map'")
+    runs = bucketed.groupBy("__e", "__salt", "__t").agg(F.count(F.lit(1)).alias("n"), F.max("__row.time").alias("last_time"), F.sum("__row.amount").alias("total"))
 
-    types = event_types(df, type_col) if types is None else types
-    names = column_suffixes(types)
-    # A run's counters go to the slots of its type; sparse slots of one entity meet in one map.
-    cell = F.struct("n", "last", "total")
-    cells = F.map_from_entries(F.collect_list(F.when(F.col("__t").isNotNull(), F.struct("__t", cell))))
+    def packed(frame: DataFrame, *keys: str) -> DataFrame:
+        """The runs of an entity as one array: sparse, so that only types that occur take room."""
+        return frame.groupBy(*keys).agg(F.collect_list(F.struct("__t", "n", "last_time", F.col("total").cast("decimal(38,6)").alias("total"))).alias("__cells"))
 
-    def spread(frame: DataFrame) -> DataFrame:
-        out = [F.col("__e").alias(entity_col), "n_events", "last_time", "total", "n_untyped"]
-        for t, name in zip(types, names):
-            c = F.col("__cells")[F.lit(t)]
-            out += [F.coalesce(c["n"], F.lit(0).cast("long")).alias(f"n:{name}"), c["last"].alias(f"last:{name}"), c["total"].alias(f"total:{name}")]
-        return frame.select(*out)
-
-    light = runs if not heavy else runs.where(~key_hash("__e").isin(heavy))
-    wide = light.groupBy("__e", "__salt").agg(*whole, cells.alias("__cells")).drop("__salt")
+    rows = packed(runs, "__e", "__salt")
     if heavy:
-        split = runs.where(key_hash("__e").isin(heavy)).groupBy("__e", "__t").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.sum("total").alias("total"))
-        wide = wide.unionByName(split.groupBy("__e").agg(*whole, cells.alias("__cells")))
-    return spread(wide)
+        # Written once, then read for both kinds of entities: the log itself is not read again.
+        rows = Scratch(df.sparkSession, "features").write(rows, "entities")
+        split = key_hash("__e").isin(heavy)
+        parts = rows.where(split).select("__e", F.inline("__cells"))
+        merged = parts.groupBy("__e", "__t").agg(F.sum("n").alias("n"), F.max("last_time").alias("last_time"), F.sum("total").alias("total"))
+        rows = rows.where(~split).drop("__salt").unionByName(packed(merged, "__e"))
+
+    cells = F.col("__cells")
+    whole = [
+        F.aggregate(cells, F.lit(0).cast("long"), lambda s, c: s + c["n"]).alias("n_events"),
+        F.array_max(F.transform(cells, lambda c: c["last_time"])).alias("last_time"),
+        F.aggregate(cells, F.lit(None).cast("decimal(38,6)"), lambda s, c: F.coalesce((s + c["total"]).cast("decimal(38,6)"), s, c["total"])).alias("total"),
+        F.aggregate(cells, F.lit(0).cast("long"), lambda s, c: s + F.when(c["__t"].isNull(), c["n"]).otherwise(F.lit(0))).alias("n_untyped"),
+    ]
+    typed = F.filter(cells, lambda c: c["__t"].isNotNull())
+    features = F.map_from_entries(F.array_sort(F.transform(typed, lambda c: F.struct(c["__t"].alias("type"), F.struct(c["n"].alias("n"), c["last_time"].alias("last_time"), c["total"].alias("total")).alias("cell")))))
+    rows = rows.select(F.col("__e").alias(entity_col), *whole, features.alias("features"))
+    if layout == "map":
+        return rows
+    types = event_types(df, type_col) if types is None else types
+    out = [entity_col, "n_events", "last_time", "total", "n_untyped"]
+    for t, name in zip(types, column_suffixes(types)):
+        c = F.col("features")[F.lit(t)]
+        out += [F.coalesce(c["n"], F.lit(0).cast("long")).alias(f"n:{name}"), c["last_time"].alias(f"last:{name}"), c["total"].alias(f"total:{name}")]
+    return rows.select(*out)
