@@ -8,9 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Letters in a run that counts as repeated, and letters whose windows are cut from one block.
+#: Letters in a run that counts as repeated.
 RUN = 20
-_BLOCK = 128
 #: Texts longer than this many characters are taken apart into rows instead of arrays; the result is the same.
 LONG_TEXT = 400_000
 
@@ -43,15 +42,12 @@ def letters_of(text: Column) -> Column:
     return F.lower(F.regexp_replace(_text(text), r"[^\p{L}]+", ""))
 
 
-def _windows(letters: Column, run: int, value: Callable[[Column], Column]) -> Column:
-    """``value`` of every run of ``run`` letters, in order; needs at least ``run`` letters.
+def _windows(letters: Column, run: int) -> Column:
+    """Every run of ``run`` letters in order of its place, none if there are fewer letters.
 
-    Cutting a window out of a string walks from its start, so windows are cut out of short
-    overlapping blocks.
+    One pass of a pattern that looks ahead and goes on by one letter.
     """
-    last = F.floor((F.length(letters) - run) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.substring(letters, b * _BLOCK + 1, F.lit(_BLOCK + run - 1)))
-    return F.flatten(F.transform(blocks, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - (run - 1)), lambda j: value(F.substring(s, j, F.lit(run))))))
+    return F.regexp_extract_all(letters, F.lit(f"(?=(.{{{run}}}))."), F.lit(1))
 
 
 def _covered(starts: Column, run: int) -> Column:
@@ -64,28 +60,27 @@ def repeated_letters(text: Column, at_least: float = 0.0, run: int = RUN) -> Col
     """Share of the letters that lie in a run of ``run`` letters which also begins earlier in the text.
 
     Runs may overlap.  Null, empty and texts of fewer letters than a run have 0.  Where the
-    share cannot reach ``at_least``, 0 is returned: the number of distinct window hashes
-    bounds the repeats from above, since a collision only adds to them.  All others are
-    decided on the windows themselves.
+    number of repeated runs shows that the share cannot reach ``at_least``, 0 is returned.
     """
 
-    def exact(letters: Column) -> Column:
+    def exact(windows: Column) -> Column:
         # Equal windows lie side by side when sorted with their places; all but the first of each are repeats.
-        placed = F.array_sort(F.transform(_windows(letters, run, lambda w: w), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
         def repeats(s: Column) -> Column:
             later = F.slice(s, 2, F.size(s))
             marked = F.zip_with(F.slice(s, 1, F.size(s) - 1), later, lambda a, b: F.when(a["w"] == b["w"], b["i"]))
-            return F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
+            return F.sort_array(F.filter(marked, lambda i: i.isNotNull()))
 
-        return _let(placed, lambda s: _let(repeats(s), lambda starts: F.when(F.size(starts) > 0, _covered(starts, run)).otherwise(F.lit(0))))
+        return _let(placed, lambda s: _let(repeats(s), lambda starts: _covered(starts, run)))
 
     def share(letters: Column) -> Column:
-        n = F.length(letters)
-        hashes = _windows(letters, run, lambda w: F.xxhash64(w))
-        repeats = _let(hashes, lambda h: F.size(h) - F.size(F.array_distinct(h)))
-        possible = _let(repeats, lambda m: (m > 0) & (m.cast("double") * run >= n * at_least))
-        return F.when(n < run, F.lit(0.0)).otherwise(F.when(possible, _share(exact(letters), n)).otherwise(F.lit(0.0)))
+        def of(windows: Column) -> Column:
+            repeats = F.size(windows) - F.size(F.array_distinct(windows))
+            possible = _let(repeats, lambda m: (m > 0) & (m.cast("double") * run >= F.length(letters) * at_least))
+            return F.when(possible, _share(exact(windows), F.length(letters))).otherwise(F.lit(0.0))
+
+        return _let(_windows(letters, run), of)
 
     return _let(letters_of(text), share)
 
@@ -187,7 +182,7 @@ def _long_texts(df: DataFrame, id_col: str, text_col: str, run: int = RUN) -> Da
     n = F.length("letters")
     last = F.floor((n - run) / 4096).cast("int")
     blocks = rows.select("row", "id", n.alias("n"), F.explode(F.when(n < run, F.array(F.struct(F.lit(0).alias("b"), F.lit("").alias("s")))).otherwise(F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("b"), F.substring("letters", b * 4096 + 1, F.lit(4096 + run - 1)).alias("s"))))).alias("x"))
-    windows = blocks.select("row", "id", "n", F.col("x.b").alias("b"), F.posexplode_outer(F.when(F.length("x.s") >= run, _windows(F.col("x.s"), run, lambda w: w))).alias("j", "w"))
+    windows = blocks.select("row", "id", "n", F.col("x.b").alias("b"), F.posexplode_outer(_windows(F.col("x.s"), run)).alias("j", "w"))
     at = windows.withColumn("i", F.col("b") * 4096 + F.col("j"))
     same = Window.partitionBy("row", "w").orderBy("i")
     repeats = at.withColumn("again", F.col("w").isNotNull() & (F.row_number().over(same) > 1))

@@ -69,7 +69,7 @@ def test_ratios(spark):
     assert got[1].bullet_line_share == 1 and got[1].bullets
     assert got[2].ellipsis_line_share == pytest.approx(2 / 3)
     for i in (3, 4):
-        assert got[i].n_chars == 0 and got[i].symbol_share == 0 and got[i].too_short
+        assert got[i].n_words == 0 and got[i].symbol_share == 0 and got[i].too_short
     assert got[5].stop_word_share == 1
     assert got[6].symbol_share == pytest.approx(6 / 9)
     assert len(got) == len(rows)
