@@ -64,7 +64,7 @@ def _reduce(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     ``set`` tells whether the part sets the key; ``tail`` is the sum after its last set,
     or all of its sums; ``tailed`` whether any sum counts there.
     """
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "set", "base", "text", "tail", "tailed")))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "set", "base", "text", "tail", "tailed")))
 
     def step(s: Column, p: Column) -> Column:
         return F.when(p["set"], p).otherwise(
