@@ -42,9 +42,9 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
     has_parent = F.col("parent").isNotNull() & (F.col("parent") != "")
     links = df.select(F.col(id_col).cast("string").alias("node"), F.col(parent_col).cast("string").alias("parent")).where(F.col("node").isNotNull())
     links = links.withColumn("parent", F.when(has_parent, F.col("parent")))
-    marks = links.select(F.col("node").alias("key"), "parent", F.lit(True).alias("is_node"), F.lit(False).alias("is_ref")).union(
-        links.where(F.col("parent").isNotNull()).select("parent", F.lit(None).cast("string"), F.lit(False), F.lit(True))
-    )
+    as_node = F.struct(F.col("node").alias("key"), F.col("parent").alias("parent"), F.lit(True).alias("is_node"), F.lit(False).alias("is_ref"))
+    as_parent = F.struct(F.col("parent").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit(False).alias("is_node"), F.lit(True).alias("is_ref"))
+    marks = links.select(F.explode(F.when(F.col("parent").isNull(), F.array(as_node)).otherwise(F.array(as_node, as_parent))).alias("m")).select("m.*")
     # One pass tells of each id whether it is a node, what its parent is and whether anything points at it.
     nodes = marks.groupBy("key").agg(F.min("parent").alias("parent"), F.max("is_node").alias("is_node"), F.max("is_ref").alias("is_ref"))
     nodes = nodes.where(F.col("is_node"))
