@@ -156,6 +156,8 @@ def frequent_patterns(
     # One pass counts the sequences (marked by a null item) and those of each item.
     marks = rows.select("seq", F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("item")), F.struct(F.lit(False).alias("whole"), F.when(valid, F.col("item")).alias("item")))).alias("m"))
     per_item = marks.select("seq", "m.whole", "m.item").where("whole or item is not null").distinct().groupBy("whole", "item").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(spark, "patterns")
+    per_item = scratch.write(per_item, "items")
     empty = spark.createDataFrame([], "items array<string>, support long")
     n_sequences = per_item.where("whole").agg(F.sum("n")).first()[0] or 0
     if not n_sequences:
@@ -169,7 +171,6 @@ def frequent_patterns(
         return empty
     code = F.create_map(*[x for i, t in enumerate(items) for x in (F.lit(t), F.lit(i))])
 
-    scratch = Scratch(spark, "patterns")
     points = rows.where(valid & F.col("item").isin(items)).select("seq", "ord", "id", code[F.col("item")].alias("code")).distinct()
     points = points.select("seq", block_of("ord", block).alias("block"), "ord", "id", "code")
     reduce = _reduce_points(len(items), longest)
