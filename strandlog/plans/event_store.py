@@ -213,7 +213,7 @@ opn AS (SELECT g, p, epoch_us, field, delta, CASE WHEN delta IS NULL THEN CAST(v
 """
 
 
-def _fold_sql(order: str, where: str = "true") -> str:
+def fold_sql(order: str, where: str = "true") -> str:
     return EV + _OPS + f""", src AS (SELECT *, {order} AS o FROM opn WHERE {where}),
 last_set AS (SELECT g, field, max(o) AS o FROM src WHERE delta IS NULL GROUP BY ALL),
 base AS (SELECT s.g, s.field, s.o, s.num, s.txt FROM src s JOIN last_set l ON s.g = l.g AND s.field = l.field AND s.o = l.o),
@@ -227,17 +227,17 @@ def _state(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("group").alias("stream_id"), "field", F.col("number").cast("double").alias("number"), F.when(F.col("number").isNull(), F.col("value")).alias("text"))
 
 
-@query(_fold_sql("p"))
+@query(fold_sql("p"))
 def fold_forward(spark, folder):
     return _state(fold.tagged_fold(fold.fold_ops(_ev(spark, folder, "data"))))
 
 
-@query(_fold_sql("-p"))
+@query(fold_sql("-p"))
 def fold_backward(spark, folder):
     return _state(fold.tagged_fold(fold.fold_ops(_ev(spark, folder, "data")), "backward"))
 
 
-@query(_fold_sql("p", f"epoch_us <= {AT}"))
+@query(fold_sql("p", f"epoch_us <= {AT}"))
 def fold_as_of(spark, folder):
     """State of every stream as of a time."""
     return _state(fold.tagged_fold(fold.fold_ops(_ev(spark, folder, "data", "epoch_us").where(F.col("epoch_us") <= AT))))
@@ -245,7 +245,7 @@ def fold_as_of(spark, folder):
 
 @query(EV.replace("WITH ev AS", "WITH ev0 AS") + """, lat AS (SELECT stream_id AS ls, version AS lv, data AS ld FROM snapshots QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY version DESC, timestamp_ms DESC, data DESC NULLS LAST) = 1),
 ev AS (SELECT stream_id, version, epoch_us, js FROM ev0 LEFT JOIN lat ON ls = stream_id WHERE lv IS NULL OR version > lv UNION ALL SELECT ls, -1, 0, CASE WHEN json_valid(ld) THEN ld END FROM lat)
-""" + _fold_sql("p").replace(EV, ""))
+""" + fold_sql("p").replace(EV, ""))
 def fold_from_snapshots(spark, folder):
     return _state(fold.aggregate_state(_ev(spark, folder, "data"), snapshots.load(table(spark, folder, "snapshots"))))
 

@@ -167,3 +167,10 @@ def test_operations(spark):
         assert [r.recovered for r in got] == [False] * 4 + [True, False]
     s = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "c")], "at long, node string")
     assert sorted(tuple(r) for r in operations.membership_changes(s).collect()) == [(2, "b", "removed"), (3, "c", "added")]
+
+
+def test_config():
+    from strandlog.config import StoreConfig
+
+    assert StoreConfig.of("a", {}) == StoreConfig("a", "a-data")
+    assert StoreConfig.of("a", {"STORE_MODE": "odd", "STORE_PATH": "/p", "STORE_BUCKETS": "4"}) == StoreConfig("a", "/p", "single", 4)
