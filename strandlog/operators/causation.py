@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from strandlog.operators import graph
 from strandlog.operators.streams import GLOBAL_ORDER
+from strandlog.runtime import heavy_keys, join_to_unique
 
+HEAVY_SHARE, SALTS = 0.005, 32
 NO_CAUSE, NOT_FOUND, FOUND = "no_cause", "not_found", "found"
 
 
@@ -50,11 +52,12 @@ def causes(log: DataFrame) -> DataFrame:
     """``event_id, status, cause_id, cause_stream, cause_version, cause_type`` for every event at once.
 
     Status is no_cause without a (non-empty) causation id, not_found where no event has it,
-    else found.
+    else found.  Effects of a cause that has very many are spread over tasks.
     """
     child = log.select("event_id", F.when(F.col("causation_id") != "", F.col("causation_id")).alias("wanted"))
     parent = log.select(F.col("event_id").alias("cause_id"), F.col("stream_id").alias("cause_stream"), F.col("version").alias("cause_version"), F.col("event_type").alias("cause_type"))
-    joined = child.join(parent, F.col("wanted") == F.col("cause_id"), "left")
+    _, heavy = heavy_keys(child, ["wanted"], HEAVY_SHARE)
+    joined = join_to_unique(child, parent, "wanted", "cause_id", "left", heavy, SALTS, ["event_id"])
     status = F.when(F.col("wanted").isNull(), NO_CAUSE).when(F.col("cause_id").isNull(), NOT_FOUND).otherwise(FOUND)
     return joined.select("event_id", status.alias("status"), "cause_id", "cause_stream", "cause_version", "cause_type")
 

@@ -9,10 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.runtime import block_of, create_exclusive, fields, full_uri, list_names, read_text
+from strandlog.runtime import block_of, create_exclusive, fields, full_uri, heavy_keys, join_to_unique, list_names, read_text
 
 #: Sequence numbers per block.  Work on a stream is split into blocks of this many numbers.
 BLOCK = 4096
+#: A stream with this share of all claims is spread when claims meet the streams' bounds.
+HEAVY_SHARE, SALTS = 0.02, 16
 
 _SEGMENT = fields("stream string, first long, last long, seen long")
 _PENDING = fields("stream string, number long")
@@ -28,7 +30,8 @@ def cut_claims(claims: DataFrame, bounds: DataFrame, block: int = BLOCK) -> Data
     c = claims.where(F.col("stream").isNotNull() & F.col("first").isNotNull() & F.col("last").isNotNull() & F.col("seen").isNotNull())
     c = c.groupBy("stream", "first", "last").agg(F.max("seen").alias("seen"))
     b = bounds.select(F.col("stream").alias("b_stream"), "low", "high")
-    c = c.join(b, F.col("stream") == F.col("b_stream")).select("stream", F.greatest("first", "low").alias("first"), F.least("last", "high").alias("last"), "seen").where("first <= last")
+    _, heavy = heavy_keys(c, ["stream"], HEAVY_SHARE)
+    c = join_to_unique(c, b, "stream", "b_stream", "inner", heavy, SALTS, ["first", "last"]).select("stream", F.greatest("first", "low").alias("first"), F.least("last", "high").alias("last"), "seen").where("first <= last")
     c = c.withColumn("block", F.explode(F.sequence(block_of("first", block), block_of("last", block))))
     return c.select(
         "stream", "block", F.greatest("first", F.col("block") * block).alias("first"), F.least("last", F.col("block") * block + (block - 1)).alias("last"), "seen"

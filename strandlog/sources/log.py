@@ -20,19 +20,29 @@ LINK_PREFIX = "$link:"
 VERSION_DIGITS = 12
 
 
+#: What an event id stands for: the same in every delivery of an event.
+FIXED = ("event_id", "stream_id", "version", "event_type", "causation_id", "correlation_id")
+
+
 def canonical(deliveries: DataFrame, columns: list[str] | None = None, time_col: str = "epoch_us", order_col: str = "delivery_id") -> DataFrame:
     """One row per event id: the delivery with the smallest (time, order).
 
-    Only ``columns`` are carried.  Copies are reduced where they are read before any
-    exchange, so an event delivered very often costs no task more than others.  Rows with a
-    null event id are dropped as no events.
+    Only ``columns`` are carried.  What an event id stands for is grouped by, so that later
+    conditions on it reach the scan; only what differs between deliveries is chosen.  Copies
+    are reduced where they are read before any exchange, so an event delivered very often
+    costs no task more than others.  Rows with a null event id are dropped as no events.
     """
-    wanted = [c for c in (columns or COLUMNS) if c != "event_id"]
-    rest = F.struct(*[F.col(c) for c in wanted])
+    wanted = columns or COLUMNS
+    keys = [c for c in FIXED if c in wanted or c == "event_id"]
+    rest = [c for c in wanted if c not in keys]
+    rows = deliveries.where(F.col("event_id").isNotNull())
+    if not rest:
+        return rows.select(*keys).distinct().select(*wanted)
+    if rest == [time_col]:
+        return rows.groupBy(*keys).agg(F.min(time_col).alias(time_col)).select(*wanted)
     order = F.struct(F.col(time_col).isNull(), F.col(time_col), F.col(order_col))
-    one = deliveries.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min_by(rest, order).alias("__one"))
-    picked = {c: F.col(f"__one.`{c}`").alias(c) for c in wanted} | {"event_id": F.col("event_id")}
-    return one.select(*[picked[c] for c in (columns or COLUMNS)])
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__one"))
+    return one.select(*[F.col(f"__one.`{c}`").alias(c) if c in rest else F.col(c) for c in wanted])
 
 
 def event_log(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:

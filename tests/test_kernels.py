@@ -77,7 +77,7 @@ def test_ed25519_with_the_published_vectors():
 
 
 def test_tokens_and_grants():
-    good = {"iss": "me", "exp": 100, "att": [{"with": "esdb://r/stream/orders-*", "can": "read"}], "sig": "00" * 64}
+    good = {"iss": "me", "exp": 100, "att": [{"with": "store://r/stream/orders-*", "can": "read"}], "sig": "00" * 64}
     import json
 
     def reason(claims, now):
@@ -86,9 +86,9 @@ def test_tokens_and_grants():
         return e.value.reason
 
     assert [reason("{", 1), reason(good, 100), reason(good | {"nbf": 60}, 50), reason(good, 50)] == ["malformed", "expired", "not_yet_valid", "bad_signature"]
-    assert security.check_permission(good["att"], "esdb://r/stream/orders-1", "read")
+    assert security.check_permission(good["att"], "store://r/stream/orders-1", "read")
     with pytest.raises(security.Denied):
-        security.check_permission(good["att"], "esdb://r/stream/orders-1", "write")
+        security.check_permission(good["att"], "store://r/stream/orders-1", "write")
     assert security.match_resource("a*", "abc") and security.match_resource("a", "a") and not security.match_resource("a", "ab") and security.match_action("*", "x")
     r = security.Revocations()
     r.revoke("t", now=0)
