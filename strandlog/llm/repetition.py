@@ -85,53 +85,57 @@ def repeated_letters(text: Column, at_least: float = 0.0, run: int = RUN) -> Col
     return _let(letters_of(text), share)
 
 
-def _repeat_share(parts: Column) -> Column:
-    """Share of the characters of the parts that lie in parts which came before."""
+def _chars(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda t, x: t + F.length(x))
 
-    def of(p: Column) -> Column:
-        chars = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + F.length(x))
-        return _share(chars(p) - chars(F.array_distinct(p)), chars(p))
 
-    return _let(parts, of)
+def _repeat_share(parts: Column) -> Column:
+    """Share of the characters of the parts that lie in parts which came before."""
+    return _let(parts, lambda p: _share(_chars(p) - _chars(F.array_distinct(p)), _chars(p)))
 
 
 def _lines(text: Column, at: str) -> Column:
     return F.filter(F.transform(F.split(_text(text), at), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def _line_share(text: Column, test: Callable[[Column], Column]) -> Column:
-    return _let(_lines(text, "\n"), lambda p: _share(F.size(F.filter(p, test)), F.size(p)))
+def _line_share(lines: Column, test: Callable[[Column], Column]) -> Column:
+    return _share(F.size(F.filter(lines, test)), F.size(lines))
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(_text(text)), r"[^\p{L}\p{N}']+"), lambda w: w != "")
 
 
-def _word_runs(text: Column, n: int) -> Column:
+def _word_runs(words: Column, n: int) -> Column:
     """Share of the runs of ``n`` words that came before in the text."""
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    return F.when(F.size(words) < n, F.lit(0.0)).otherwise(_let(grams, lambda g: _share(F.size(g) - F.size(F.array_distinct(g)), F.size(g))))
 
-    def of(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-        return F.when(F.size(w) < n, F.lit(0.0)).otherwise(_let(grams, lambda g: _share(F.size(g) - F.size(F.array_distinct(g)), F.size(g))))
-
-    return _let(_words(text), of)
-
-
-#: Every ratio that a threshold can name, as an expression of the text and of the threshold to be decided.
-METRICS: dict[str, Callable[[Column, float], Column]] = {
-    "n_chars": lambda t, _: F.length(_text(t)).cast("double"),
-    "n_words": lambda t, _: F.size(_words(t)).cast("double"),
-    "mean_word": lambda t, _: _let(_words(t), lambda w: _share(F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)), F.size(w))),
-    "symbol_share": lambda t, _: _share(F.length(F.regexp_replace(_text(t), r"[\p{L}\p{N}\s]+", "")), F.length(_text(t))),
-    "digit_share": lambda t, _: _share(F.length(F.regexp_replace(_text(t), r"[^\p{N}]+", "")), F.length(_text(t))),
-    "stop_word_share": lambda t, _: _let(_words(t), lambda w: _share(F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))), F.size(w))),
-    "bullet_line_share": lambda t, _: _line_share(t, lambda s: s.rlike(r"^[-*•·]")),
-    "ellipsis_line_share": lambda t, _: _line_share(t, lambda s: s.rlike("(\\.\\.\\.|…)$")),
-    "repeated_line_share": lambda t, _: _repeat_share(_lines(t, "\n")),
-    "repeated_block_share": lambda t, _: _repeat_share(_lines(t, r"\n\s*\n")),
-    "repeated_sentence_share": lambda t, _: _repeat_share(_lines(t, "(?<=[.!?。！？])\\s*|\n+")),
-    "repeated_words5_share": lambda t, _: _word_runs(t, 5),
-    "repeated_letter_share": lambda t, least: repeated_letters(t, least),
+
+@dataclass(frozen=True)
+class Parts:
+    """A text and what several ratios are taken of, so that each is made once."""
+
+    text: Column
+    words: Column
+    lines: Column
+
+
+#: Every ratio that a threshold can name, as an expression of the text's parts and of the threshold to be decided.
+METRICS: dict[str, Callable[[Parts, float], Column]] = {
+    "n_chars": lambda p, _: F.length(p.text).cast("double"),
+    "n_words": lambda p, _: F.size(p.words).cast("double"),
+    "mean_word": lambda p, _: _share(_chars(p.words), F.size(p.words)),
+    "symbol_share": lambda p, _: _share(F.length(F.regexp_replace(p.text, r"[\p{L}\p{N}\s]+", "")), F.length(p.text)),
+    "digit_share": lambda p, _: _share(F.length(F.regexp_replace(p.text, r"[^\p{N}]+", "")), F.length(p.text)),
+    "stop_word_share": lambda p, _: _share(F.size(F.filter(p.words, lambda x: x.isin(STOP_WORDS))), F.size(p.words)),
+    "bullet_line_share": lambda p, _: _line_share(p.lines, lambda s: s.rlike(r"^[-*•·]")),
+    "ellipsis_line_share": lambda p, _: _line_share(p.lines, lambda s: s.rlike("(\\.\\.\\.|…)$")),
+    "repeated_line_share": lambda p, _: _repeat_share(p.lines),
+    "repeated_block_share": lambda p, _: _repeat_share(_lines(p.text, r"\n\s*\n")),
+    "repeated_sentence_share": lambda p, _: _repeat_share(_lines(p.text, "(?<=[.!?。！？])\\s*|\n+")),
+    "repeated_words5_share": lambda p, _: _word_runs(p.words, 5),
+    "repeated_letter_share": lambda p, least: repeated_letters(p.text, least),
 }
 
 
@@ -162,18 +166,27 @@ THRESHOLDS = (
 REPEATED_LETTERS = (Threshold("repeated_letters", "repeated_letter_share", ">=", 0.4),)
 
 
-def compile_thresholds(text: Column, table, decide_only: bool = False) -> list[Column]:
-    """The columns of a threshold table over a text: each ratio once, then each flag.
+def compile_thresholds(rows: DataFrame, text_col: str, table, decide_only: bool = False) -> DataFrame:
+    """``rows`` with the ratios of a threshold table over a text column, each made once, and its flags.
 
-    With ``decide_only`` a ratio may be reported as 0 where it is sure to miss its one
-    threshold, which is cheaper, and only the flags are returned.
+    Nothing but built-in expressions in one stage: words and lines, then ratios, then flags.
+    With ``decide_only`` only the flags are added, and a ratio may be taken as 0 where it is
+    sure to miss its thresholds, which is cheaper.
     """
     if bad := [t for t in table if t.op not in (">=", "<=") or t.metric not in METRICS]:
         raise ValueError(f"unknown metric or comparison: {bad}")
-    needs = {m: (min(t.value for t in table if t.metric == m) if decide_only and all(t.op == ">=" for t in table if t.metric == m) else 0.0) for m in dict.fromkeys(t.metric for t in table)}
-    ratios = {m: METRICS[m](text, v) for m, v in needs.items()}
-    flags = [(ratios[t.metric] >= t.value if t.op == ">=" else ratios[t.metric] <= t.value).alias(t.flag) for t in table]
-    return flags if decide_only else [*[c.alias(m) for m, c in ratios.items()], *flags]
+    metrics = list(dict.fromkeys(t.metric for t in table))
+
+    def least(m: str) -> float:
+        own = [t for t in table if t.metric == m]
+        return min(t.value for t in own) if decide_only and all(t.op == ">=" for t in own) else 0.0
+
+    text = _text(F.col(text_col))
+    parts = rows.withColumns({"__text": text, "__words": _words(text), "__lines": _lines(text, "\n")})
+    of = Parts(F.col("__text"), F.col("__words"), F.col("__lines"))
+    ratios = parts.select(*rows.columns, *[METRICS[m](of, least(m)).alias(m) for m in metrics])
+    flags = [(F.col(t.metric) >= t.value if t.op == ">=" else F.col(t.metric) <= t.value).alias(t.flag) for t in table]
+    return ratios.select(*rows.columns, *([] if decide_only else metrics), *flags)
 
 
 def _long_texts(df: DataFrame, id_col: str, text_col: str, run: int = RUN) -> DataFrame:
@@ -200,8 +213,8 @@ def measure(df: DataFrame, id_col: str, text_col: str, table=THRESHOLDS) -> Data
     Null and empty texts have ratios of 0 (and the flags that follow).  Rows with repeated or null
     ids are kept.  Other columns of the input play no part.
     """
-    text = F.col("text")
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(F.col("id").alias(id_col), *compile_thresholds(text, table))
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__raw"))
+    return compile_thresholds(rows, "__raw", table).drop("__raw").withColumnRenamed("__id", id_col)
 
 
 def repeated_documents(df: DataFrame, id_col: str, text_col: str, at_least: float = 0.4, long_text: int = LONG_TEXT) -> DataFrame:
@@ -213,6 +226,6 @@ def repeated_documents(df: DataFrame, id_col: str, text_col: str, at_least: floa
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     table = (Threshold("repeated_letters", "repeated_letter_share", ">=", at_least),)
-    short = rows.where(F.length("text") <= long_text).select("id", *compile_thresholds(F.col("text"), table, decide_only=True)).where("repeated_letters").select("id")
+    short = compile_thresholds(rows.where(F.length("text") <= long_text), "text", table, decide_only=True).where("repeated_letters").select("id")
     long = _long_texts(rows.where(F.length("text") > long_text), "id", "text").where(F.col("share") >= at_least).select("id")
     return short.union(long).withColumnRenamed("id", id_col)

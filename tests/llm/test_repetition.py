@@ -82,6 +82,6 @@ def test_one_projection_without_user_functions(spark):
 
 def test_unknown_metric_and_empty_table(spark):
     with pytest.raises(ValueError):
-        r.compile_thresholds(F.col("text"), [r.Threshold("x", "nothing", ">=", 1)])
+        r.compile_thresholds(frame(spark, []), "text", [r.Threshold("x", "nothing", ">=", 1)])
     assert r.measure(frame(spark, []), "doc_id", "text").count() == 0
     assert r.repeated_documents(frame(spark, []), "doc_id", "text").count() == 0
