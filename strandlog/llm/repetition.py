@@ -126,14 +126,14 @@ METRICS: dict[str, Callable[[Parts, float], Column]] = {
     "n_chars": lambda p, _: F.length(p.text).cast("double"),
     "n_words": lambda p, _: F.size(p.words).cast("double"),
     "mean_word": lambda p, _: _share(_chars(p.words), F.size(p.words)),
-    "symbol_share": lambda p, _: _share(F.length(F.regexp_replace(p.text, r"[\p{L}\p{N}\s]+", "")), F.length(p.text)),
+    "symbol_share": lambda p, _: _share(F.length(F.regexp_replace(p.text, r"[\p{L}\p{N} \t-\r]+", "")), F.length(p.text)),
     "digit_share": lambda p, _: _share(F.length(F.regexp_replace(p.text, r"[^\p{N}]+", "")), F.length(p.text)),
     "stop_word_share": lambda p, _: _share(F.size(F.filter(p.words, lambda x: x.isin(STOP_WORDS))), F.size(p.words)),
     "bullet_line_share": lambda p, _: _line_share(p.lines, lambda s: s.rlike(r"^[-*•·]")),
-    "ellipsis_line_share": lambda p, _: _line_share(p.lines, lambda s: s.rlike("(\\.\\.\\.|…)$")),
+    "ellipsis_line_share": lambda p, _: _line_share(p.lines, lambda s: s.rlike(r"(\.\.\.|…)\z")),
     "repeated_line_share": lambda p, _: _repeat_share(p.lines),
-    "repeated_block_share": lambda p, _: _repeat_share(_lines(p.text, r"\n\s*\n")),
-    "repeated_sentence_share": lambda p, _: _repeat_share(_lines(p.text, "(?<=[.!?。！？])\\s*|\n+")),
+    "repeated_block_share": lambda p, _: _repeat_share(_lines(p.text, r"\n[ \t-\r]*\n")),
+    "repeated_sentence_share": lambda p, _: _repeat_share(_lines(p.text, r"[.!?。！？]+[ \t-\r]*|\n+")),
     "repeated_words5_share": lambda p, _: _word_runs(p.words, 5),
     "repeated_letter_share": lambda p, least: repeated_letters(p.text, least),
 }

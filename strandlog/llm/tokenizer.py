@@ -15,6 +15,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: How a byte-level tokenizer of this family cuts text into words before merging bytes (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space as the pattern's engine knows it (fixed value), and the run of it that is taken out beforehand.
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 20_000
+
 #: Bytes the rolling hash looks back on, bits of it that must be set at a cut, least bytes between cuts.
 WINDOW, CUT_BITS, LEAST_CHUNK = 32, 9, 64
 #: Occurrences of one chunk in one map task that go to the same reducer; more are spread.
@@ -221,11 +225,30 @@ def _chunk(vocabulary, code: str):
     return work
 
 
+def ordinary(enc, text: str) -> list[int]:
+    """Token ids of a text, also where it holds runs of white space too long for the pattern's engine.
+
+    Such a run is a word of its own: all of it at the end of a text, else all but its last
+    character, since white space before something else leaves one to it.
+    """
+    if len(text) < LONG_RUN:
+        return enc.encode_ordinary(text)
+    import re
+
+    out, done = [], 0
+    for m in re.finditer(f"[{WHITE_SPACE}]{{{LONG_RUN},}}", text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[done : m.start()])
+        out += enc._encode_single_piece(text[m.start() : stop])
+        done = stop
+    return out + enc.encode_ordinary(text[done:])
+
+
 def encode(enc, text: str, code: str) -> bytes:
     """Token ids as machine words of the array type ``code``."""
     import array
 
-    return array.array(code, enc.encode_ordinary(text)).tobytes()
+    return array.array(code, ordinary(enc, text)).tobytes()
 
 
 def _encode_once(vocabulary, code: str):
@@ -329,7 +352,7 @@ def _count(vocabulary):
 
         enc = encoder(vocabulary.value)
         for b in batches:
-            sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
+            sizes = [len(ordinary(enc, t)) if t else 0 for t in b.column("text").to_pylist()]
             at = b.schema.get_field_index("text")
             yield b.set_column(at, "n_tokens", pa.array(sizes, pa.int64()))
 

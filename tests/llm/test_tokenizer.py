@@ -94,3 +94,16 @@ def test_hash_looks_back_the_same_over_array_blocks(monkeypatch):
     whole = t.rolling_cuts(data), t.sure_boundaries(data)
     monkeypatch.setattr(t, "BLOCK", 257)
     assert (t.rolling_cuts(data) == whole[0]).all() and (t.sure_boundaries(data) == whole[1]).all()
+
+
+def test_long_runs_of_white_space(spark, enc, monkeypatch):
+    texts = ["a" + " " * n + e for n in (1, 2, 3, 40, 41) for e in ("", "b", "\n", "\nb", "!", "é")] + ["\n" * 50, "\u3000" * 45 + "x", " \t" * 30 + "y  z"]
+    for least in (2, 40):
+        monkeypatch.setattr(t, "LONG_RUN", least)
+        for x in texts:
+            assert t.ordinary(enc, x) == enc.encode_ordinary(x), repr(x)
+    monkeypatch.undo()
+    huge = ["word" + " " * 1_200_000 + "end " * 3, "\n" * 700_000, "z" * 300_000 + "\t " * 400_000]
+    got = dict(run(spark, list(enumerate(huge))))
+    assert all(enc.decode(got[i]) == x for i, x in enumerate(huge))
+    assert got[0][:1] == enc.encode_ordinary("word") and got[0][-3:] == enc.encode_ordinary(" end end end ")[-3:]
