@@ -38,12 +38,12 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
     (level, node) is a topological order.
     """
     scratch = Scratch(nodes.sparkSession, "topo")
-    nodes = scratch.write(nodes.select("node").distinct(), "nodes")
-    edges = scratch.write(edges.select("src", "dst").distinct(), "edges")
+    nodes = scratch.write(nodes.select("node").distinct(), "nodes", "rebalance")
+    edges = scratch.write(edges.select("src", "dst").distinct(), "edges", "rebalance")
     total = nodes.count()
     rest, level, placed, out = nodes, 0, 0, None
     while True:
-        ready = scratch.write(find_roots(rest, edges).withColumn("level", F.lit(level)), f"level{level}")
+        ready = scratch.write(find_roots(rest, edges).withColumn("level", F.lit(level)), f"level{level}", "rebalance")
         n = ready.count()
         if not n:
             break
@@ -53,8 +53,8 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
             break
         done = ready.select(F.col("node").alias("__done"))
         # Both tables shrink with every level; the old ones are dropped once the new are written.
-        rest = scratch.write(rest.join(done, F.col("node") == F.col("__done"), "left_anti"), f"rest{level}")
-        edges = scratch.write(edges.join(done, F.col("src") == F.col("__done"), "left_anti"), f"edges{level}")
+        rest = scratch.write(rest.join(done, F.col("node") == F.col("__done"), "left_anti"), f"rest{level}", "rebalance")
+        edges = scratch.write(edges.join(done, F.col("src") == F.col("__done"), "left_anti"), f"edges{level}", "rebalance")
         if level:
             scratch.drop(f"rest{level - 1}")
             scratch.drop(f"edges{level - 1}")
@@ -77,15 +77,15 @@ def reach(edges: DataFrame, start: DataFrame, backward: bool = False, max_steps:
     """
     scratch = Scratch(edges.sparkSession, "reach")
     a, b = ("dst", "src") if backward else ("src", "dst")
-    steps = scratch.write(edges.select(F.col(a).alias("at"), F.col(b).alias("to")).where("at is not null and to is not null").distinct(), "edges")
-    front = scratch.write(start.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).where("start is not null").distinct(), "front0")
+    steps = scratch.write(edges.select(F.col(a).alias("at"), F.col(b).alias("to")).where("at is not null and to is not null").distinct(), "edges", "rebalance")
+    front = scratch.write(start.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).where("start is not null").distinct(), "front0", "rebalance")
     seen, k = front, 0
     while max_steps is None or k < max_steps:
         k += 1
         moved = front.join(steps, F.col("node") == F.col("at")).select("start", F.col("to").alias("node")).distinct()
         old = seen.select(F.col("start").alias("o_start"), F.col("node").alias("o_node"))
         moved = moved.join(old, (F.col("start") == F.col("o_start")) & (F.col("node") == F.col("o_node")), "left_anti")
-        front = scratch.write(moved.withColumn("distance", F.lit(k)), f"front{k}")
+        front = scratch.write(moved.withColumn("distance", F.lit(k)), f"front{k}", "rebalance")
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -115,14 +115,14 @@ def descendants(edges: DataFrame, source: str) -> DataFrame:
 def root_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, distance``: fewest steps from any root; nodes no root leads to are left out."""
     scratch = Scratch(nodes.sparkSession, "depths")
-    steps = scratch.write(edges.select("src", "dst").distinct(), "edges")
-    front = scratch.write(find_roots(nodes.select("node").distinct(), steps).withColumn("distance", F.lit(0)), "front0")
+    steps = scratch.write(edges.select("src", "dst").distinct(), "edges", "rebalance")
+    front = scratch.write(find_roots(nodes.select("node").distinct(), steps).withColumn("distance", F.lit(0)), "front0", "rebalance")
     seen, k = front, 0
     while True:
         k += 1
         moved = front.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         moved = moved.join(seen.select(F.col("node").alias("o")), F.col("node") == F.col("o"), "left_anti")
-        front = scratch.write(moved.withColumn("distance", F.lit(k)), f"front{k}")
+        front = scratch.write(moved.withColumn("distance", F.lit(k)), f"front{k}", "rebalance")
         if front.isEmpty():
             return seen
         seen = seen.union(front)

@@ -39,6 +39,7 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "hierarchy")
+    merge = "coalesce" if with_paths else "rebalance"
     has_parent = F.col("parent").isNotNull() & (F.col("parent") != "")
     links = df.select(F.col(id_col).cast("string").alias("node"), F.col(parent_col).cast("string").alias("parent")).where(F.col("node").isNotNull())
     links = links.withColumn("parent", F.when(has_parent, F.col("parent")))
@@ -60,7 +61,7 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
     cols = [F.col("num"), F.coalesce("p_num", "num").alias("ptr"), F.when(closed, 0).otherwise(1).cast("long").alias("dist"), closed.alias("closed")]
     if with_paths:
         cols.append(F.when(closed, F.array().cast("array<string>")).otherwise(F.array("key")).alias("seg"))  # ids from the node up to, without, ptr
-    rounds = [scratch.write(base.select(*cols), "round0")]
+    rounds = [scratch.write(base.select(*cols), "round0", merge)]
     open_rows = rounds[0].where(~F.col("closed")).count()
     names = rounds[0].columns
     first_open = None
@@ -75,7 +76,7 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
         out = [F.col("num"), F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_closed").alias("closed")]
         if with_paths:
             out.append(F.concat("seg", "t_seg").alias("seg"))
-        rounds.append(scratch.write(step.select(*out), f"round{len(rounds)}"))
+        rounds.append(scratch.write(step.select(*out), f"round{len(rounds)}", merge))
         left = rounds[-1].where(~F.col("closed")).count()
         if left == open_rows:
             first_open = rounds[-1].where(~F.col("closed")).select("num")
@@ -95,7 +96,7 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
         circular = _circles(scratch, first_open, rounds[0].select("num", "ptr"), inner, open_rows)
         solved = solved.union(circular.select("num", "root", F.lit(-1).cast("long"), *([F.lit(None).cast("array<string>")] if with_paths else [])))
     solved = solved.join(inner.select(F.col("num").alias("i_num"), F.col("key").alias("up")), F.col("num") == F.col("i_num"))
-    solved = scratch.write(solved.select("up", F.col("root").alias("up_root"), F.col("dist").alias("up_dist"), *([F.col("seg").alias("up_seg")] if with_paths else [])), "solved")
+    solved = scratch.write(solved.select("up", F.col("root").alias("up_root"), F.col("dist").alias("up_dist"), *([F.col("seg").alias("up_seg")] if with_paths else [])), "solved", merge)
 
     with_parent = nodes.where(F.col("parent").isNotNull())
     rows = join_to_unique(with_parent, solved, "parent", "up", "left", _hot(with_parent, "parent", n_nodes), SALTS, ["num"])
@@ -127,14 +128,14 @@ def _circles(scratch: Scratch, open_nodes: DataFrame, first: DataFrame, inner: D
     are found by doubling the step, carrying the smallest id seen on the way.
     """
     walk = open_nodes.join(first, "num").join(inner.select("num", F.col("key").alias("low")), "num").select("num", "ptr", "low")
-    walk = scratch.write(walk, "walk0")
+    walk = scratch.write(walk, "walk0", "rebalance")
     steps, k = 1, 0
     while steps < n:
         far = walk.select(F.col("num").alias("f_num"), F.col("ptr").alias("f_ptr"), F.col("low").alias("f_low"))
         hot = _hot(walk, "ptr", n)
         walk2 = join_to_unique(walk, far, "ptr", "f_num", "inner", hot, SALTS, ["num"]).select("num", F.col("f_ptr").alias("ptr"), F.least("low", "f_low").alias("low"))
         k += 1
-        walk = scratch.write(walk2, f"walk{k}")
+        walk = scratch.write(walk2, f"walk{k}", "rebalance")
         if k > 1:
             scratch.drop(f"walk{k - 1}")
         steps *= 2

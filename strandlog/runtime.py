@@ -77,9 +77,19 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table as read back, with the schema it was given."""
+    def write(self, df: DataFrame, name: str, merge: str | None = None) -> DataFrame:
+        """Write ``df`` and return the table as read back, with the schema it was given.
+
+        Loops need ``merge``: what is joined with all that was written before has as many tasks
+        as those tables together, and would leave as many files.  "rebalance" moves the rows
+        into files of a sensible size; "coalesce" lets a task do the work of several and moves
+        nothing, for wide rows.
+        """
         schema = df.schema
+        if merge == "rebalance":
+            df = df.hint("rebalance")
+        elif merge == "coalesce":
+            df = df.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
