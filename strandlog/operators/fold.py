@@ -23,18 +23,23 @@ def data_fields(data: Column) -> Column:
     return F.try_parse_json(data).try_cast("map<string,variant>")
 
 
+#: Kinds of plain numbers, and of an object that holds nothing but a numeric sum.
+_NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+_SUM = "^OBJECT<sum: (BIGINT|DECIMAL[^,]*(,[0-9]+)?[)]?|DOUBLE|FLOAT)>$"
+
+
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
 def _is_number(v: Column) -> Column:
-    return _kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return _kind(v).rlike(_NUMBER)
 
 
 def field_number(v: Column) -> Column:
     """The number of a plain number or of a tagged sum; null for all else."""
     tagged = F.try_variant_get(v, "$.sum", "variant")
-    only = _kind(v).rlike("^OBJECT<sum: (BIGINT|DECIMAL[^,]*(,[0-9]+)?[)]?|DOUBLE|FLOAT)>$")
+    only = _kind(v).rlike(_SUM)
     return F.when(_is_number(v), v.try_cast(NUMBER)).when(only, tagged.try_cast(NUMBER))
 
 
@@ -44,17 +49,21 @@ def fold_ops(log: DataFrame, group: str = "stream_id", position: str = "version"
     Events whose data is no JSON object give none.
     """
     fields = log.select(F.col(group).alias("group"), F.col(position).alias("position"), F.explode(data_fields(F.col("data"))).alias("field", "v"))
-    text = F.to_json("v")
-    sum_only = F.when(~_is_number(F.col("v")), field_number(F.col("v")))
-    over = _kind(F.col("v")).startswith("OBJECT<overwrite: ")
-    inner = F.try_variant_get("v", "$.overwrite", "variant")
-    single = F.size(F.col("v").try_cast("map<string,variant>")) == 1
-    value = F.when(over & single, inner).otherwise(F.col("v"))
-    ops = fields.withColumn("delta", sum_only).withColumn("value", value)
+    # The kind of a value is made once and decides what else is looked at.
+    kind = F.col("kind")
+    fields = fields.withColumn("kind", F.schema_of_variant("v"))
+    over = kind.startswith("OBJECT<overwrite: ") & (F.size(F.col("v").try_cast("map<string,variant>")) == 1)
+    ops = fields.select(
+        "group", "position", "field", "kind", "v",
+        F.when(kind.rlike(_SUM), F.try_variant_get("v", "$.sum", NUMBER)).alias("delta"),
+        F.when(over, F.try_variant_get("v", "$.overwrite", "variant")).alias("inner"),
+    )
+    is_set = F.col("delta").isNull()
+    inner_number = F.when(F.col("inner").isNotNull() & _is_number(F.col("inner")), F.try_variant_get("inner", "$", NUMBER))
     return ops.select(
         "group", "position", "field", "delta",
-        F.when(F.col("delta").isNull(), F.coalesce(F.to_json("value"), text, F.lit("null"))).alias("set_to"),
-        F.when(F.col("delta").isNull() & _is_number(F.col("value")), F.col("value").try_cast(NUMBER)).alias("set_number"),
+        F.when(is_set, F.coalesce(F.to_json("inner"), F.to_json("v"), F.lit("null"))).alias("set_to"),
+        F.when(is_set, F.when(kind.rlike(_NUMBER), F.try_variant_get("v", "$", NUMBER)).otherwise(inner_number)).alias("set_number"),
     )
 
 

@@ -20,20 +20,23 @@ LINK_PREFIX = "$link:"
 VERSION_DIGITS = 12
 
 
-#: What an event id stands for: the same in every delivery of an event.
+#: What an event id stands for in the event_log table: the same in every delivery of an event.
 FIXED = ("event_id", "stream_id", "version", "event_type", "causation_id", "correlation_id")
 
 
-def canonical(deliveries: DataFrame, columns: list[str] | None = None, time_col: str = "epoch_us", order_col: str = "delivery_id") -> DataFrame:
+def canonical(deliveries: DataFrame, columns: list[str] | None = None, time_col: str = "epoch_us", order_col: str = "delivery_id", fixed: tuple[str, ...] = ()) -> DataFrame:
     """One row per event id: the delivery with the smallest (time, order).
 
-    Only ``columns`` are carried.  What an event id stands for is grouped by, so that later
-    conditions on it reach the scan; only what differs between deliveries is chosen.  Copies
-    are reduced where they are read before any exchange, so an event delivered very often
-    costs no task more than others.  Rows with a null event id are dropped as no events.
+    Only ``columns`` are carried.  Copies are reduced where they are read before any exchange, so
+    an event delivered very often costs no task more than others.  Rows with a null event
+    id are dropped as no events.
+
+    ``fixed`` names columns that are known to be the same in every delivery of an event.  They
+    are grouped by, so that later conditions on them reach the scan, and only what differs
+    between deliveries is chosen; contradicting deliveries would then stay as several rows.
     """
     wanted = columns or COLUMNS
-    keys = [c for c in FIXED if c in wanted or c == "event_id"]
+    keys = ["event_id", *[c for c in fixed if c in wanted and c != "event_id"]]
     rest = [c for c in wanted if c not in keys]
     rows = deliveries.where(F.col("event_id").isNotNull())
     if not rest:
@@ -47,7 +50,7 @@ def canonical(deliveries: DataFrame, columns: list[str] | None = None, time_col:
 
 def event_log(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
     """The canonical log over the ``event_log`` table of a folder."""
-    return canonical(table(spark, folder, "event_log"), columns)
+    return canonical(table(spark, folder, "event_log"), columns, fixed=FIXED)
 
 
 def from_user_events(events: DataFrame) -> DataFrame:
