@@ -53,9 +53,9 @@ class Link:
 
 def selected(log: DataFrame, link: Link) -> DataFrame:
     """The events of the link's source that pass its filter, transformed; a null verdict is no."""
-    rows = log.where(F.coalesce(link.source.predicate(F.col("stream_id")), F.lit(False)))
+    rows = log.where(link.source.predicate(F.col("stream_id")))
     if link.filter is not None:
-        rows = rows.where(F.coalesce(link.filter(rows), F.lit(False)))
+        rows = rows.where(link.filter(rows))
     if link.transform is not None:
         new = link.transform(rows)
         fixed = {"stream_id", "version", "event_id"} & set(new)

@@ -80,8 +80,8 @@ def predicate(kind: str, selector) -> Column:
 
 
 def matching(log: DataFrame, kind: str, selector) -> DataFrame:
-    """The events a subscription gets."""
-    return log.where(F.coalesce(predicate(kind, selector), F.lit(False)))
+    """The events a subscription gets; a null verdict is no."""
+    return log.where(predicate(kind, selector))
 
 
 def key_of(kind: str, selector, name: str) -> str:
