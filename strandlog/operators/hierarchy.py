@@ -20,14 +20,15 @@ def _hot(df: DataFrame, key: str, rows: int) -> list[int]:
     return [r.h for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAVY_SHARE * rows).select(key_hash(key).alias("h")).collect()]
 
 
-def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = False, only_children: bool = False) -> DataFrame:
+def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = False, only_children: bool = False, with_walks: bool = False) -> DataFrame:
     """Root, depth and optionally the path of every node of a forest given by parent links.
 
     Returns ``node, parent, root, depth`` and with ``with_paths`` also ``path``, the ids
     from the root to the node.  A node whose parent is null, empty or not a node is a root
     (depth 0, root itself).  A node that runs into a circle has depth -1, a null path and as
-    root the smallest id of that circle.  ``only_children`` leaves out nodes without a
-    parent value.  Repeated rows of a node count once; of contradicting parents the
+    root the smallest id of that circle.  ``with_walks`` (which needs the paths) adds ``walk``:
+    for a node in or below a circle the ids met going up from it, itself first, each once; null
+    for all others.  ``only_children`` leaves out nodes without a parent value.  Repeated rows of a node count once; of contradicting parents the
     smallest counts; rows with a null id are no nodes.  An empty table gives no rows.
 
     Only nodes with children can be pointed at, so only those take part in the doubling:
@@ -37,6 +38,8 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
     into a circle, because the ancestors of a node at depth d cover all smaller depths.
     Rounds are written to the shared folder.
     """
+    if with_walks and not with_paths:
+        raise ValueError("walks need with_paths")
     spark = df.sparkSession
     scratch = Scratch(spark, "hierarchy")
     merge = "coalesce" if with_paths else "rebalance"
@@ -94,7 +97,10 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
     solved = found.select("num", F.col("k_key").alias("root"), "dist", *(["seg"] if with_paths else []))
     if first_open is not None:
         circular = _circles(scratch, first_open, rounds[0].select("num", "ptr"), inner, open_rows)
-        solved = solved.union(circular.select("num", "root", F.lit(-1).cast("long"), *([F.lit(None).cast("array<string>")] if with_paths else [])))
+        seg = F.lit(None).cast("array<string>")
+        if with_walks:
+            circular, seg = circular.join(_walks(scratch, rounds[-1].where(~F.col("closed")), open_rows, merge), "num"), F.col("walk")
+        solved = solved.union(circular.select("num", "root", F.lit(-1).cast("long"), *([seg] if with_paths else [])))
     solved = solved.join(inner.select(F.col("num").alias("i_num"), F.col("key").alias("up")), F.col("num") == F.col("i_num"))
     solved = scratch.write(solved.select("up", F.col("root").alias("up_root"), F.col("dist").alias("up_dist"), *([F.col("seg").alias("up_seg")] if with_paths else [])), "solved", merge)
 
@@ -112,10 +118,12 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
         up_path = F.concat(F.array("up_root"), F.reverse("up_seg"))
         # seg holds the ids from the parent up to the child of the root; reversed it runs downwards.
         out.append(F.when(top, F.array("key")).when(circle, F.lit(None)).otherwise(F.concat(up_path, F.array("key"))).alias("path"))
+    if with_walks:
+        out.append(F.when(circle, F.array_distinct(F.concat(F.array("key"), "up_seg"))).alias("walk"))
     result = rows.select(*out)
     if not only_children:
         alone = nodes.where(F.col("parent").isNull())
-        lone = [F.col("key"), "parent", F.col("key"), F.lit(0).cast("long")] + ([F.array("key")] if with_paths else [])
+        lone = [F.col("key"), "parent", F.col("key"), F.lit(0).cast("long")] + ([F.array("key")] if with_paths else []) + ([F.lit(None).cast("array<string>")] if with_walks else [])
         result = result.union(alone.select(*lone))
     return result
 
@@ -143,12 +151,41 @@ def _circles(scratch: Scratch, open_nodes: DataFrame, first: DataFrame, inner: D
     return join_to_unique(walk.select("num", "ptr"), end, "ptr", "f_num", "inner", _hot(walk, "ptr", n), SALTS, ["num"]).select("num", "root")
 
 
+def _walks(scratch: Scratch, open_nodes: DataFrame, n: int, merge: str) -> DataFrame:
+    """``num, walk`` of the nodes that lead into circles: the ids from the node up to the end of the circle, each once.
+
+    ``open_nodes`` are the last pointers with their segments.  A walk that met an id again has
+    seen its whole circle and is closed; open ones are doubled further, so the rounds go with
+    the logarithm of tail and circle.
+    """
+    once = F.array_distinct("seg")
+    rounds = [scratch.write(open_nodes.select("num", "ptr", once.alias("walk"), (F.size(once) < F.size("seg")).alias("closed")), "ring0", merge)]
+    while rounds[-1].where(~F.col("closed")).limit(1).count():
+        active = rounds[-1].where(~F.col("closed"))
+        table = active
+        for r in rounds:
+            table = table.union(r.where(F.col("closed")))
+        target = table.select(*[F.col(c).alias(f"t_{c}") for c in table.columns])
+        step = join_to_unique(active, target, "ptr", "t_num", "inner", _hot(active, "ptr", n), SALTS, ["num"])
+        walk = F.array_distinct(F.concat("walk", "t_walk"))
+        met = F.col("t_closed") | (F.size(walk) < F.size("walk") + F.size("t_walk"))
+        rounds.append(scratch.write(step.select("num", F.col("t_ptr").alias("ptr"), walk.alias("walk"), met.alias("closed")), f"ring{len(rounds)}", merge))
+    found = rounds[0].where(F.col("closed"))
+    for r in rounds[1:]:
+        found = found.union(r.where(F.col("closed")))
+    return found.select("num", "walk")
+
+
 def effects(paths: DataFrame) -> DataFrame:
     """All descendants of every node: ``ancestor, node, distance`` from ``hierarchy(..., with_paths=True)``.
 
     One row per pair of a node and one of its proper ancestors, made from the paths without
-    another join; nodes in or below circles have no path and give none (their circle is
-    named by root).
+    another join.  Nodes in or below circles have no path; they give their pairs, with the
+    fewest steps as distance and never themselves, if the table has the column ``walk``
+    (``with_walks=True``), and none without it.
     """
+    if "walk" in paths.columns:
+        up = paths.where(F.col("depth") != 0).select("node", F.posexplode(F.coalesce(F.reverse("path"), "walk")).alias("at", "ancestor"))
+        return up.where(F.col("at") > 0).select("ancestor", "node", F.col("at").cast("long").alias("distance"))
     up = paths.where(F.col("depth") > 0).select("node", "depth", F.posexplode("path").alias("at", "ancestor"))
     return up.where(F.col("at") < F.col("depth")).select("ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))

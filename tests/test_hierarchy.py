@@ -80,3 +80,31 @@ def test_only_children(spark):
 
 def test_empty(spark):
     assert h.hierarchy(frame(spark, []), "id", "up").count() == 0
+
+
+def walks(links):
+    """Of each node the ids met going up from it, itself first, each once."""
+    parent = {a: b for a, b in links}
+    out = {}
+    for a in parent:
+        out[a] = [a]
+        while (up := parent[out[a][-1]]) in parent and up not in out[a]:
+            out[a].append(up)
+    return out
+
+
+def test_nodes_in_and_below_circles_have_effects(spark):
+    links = [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("self", "self"), ("s2", "self"), ("r", None), ("k", "r")]
+    links += [(f"m{i:02}", f"m{(i + 1) % 13:02}") for i in range(13)] + [(f"t{i:02}", f"t{i - 1:02}" if i else "m05") for i in range(21)]
+    rows = h.hierarchy(frame(spark, links), "id", "up", with_paths=True, with_walks=True)
+    want = walks(links)
+    assert {r.node: r.walk for r in rows.where("depth < 0").collect()} == {a: w for a, w in want.items() if a not in ("r", "k")}
+    assert rows.where("depth >= 0 and walk is not null").count() == 0
+    got = [tuple(r) for r in h.effects(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(p, a, i) for a, w in want.items() for i, p in enumerate(w) if i}
+    assert {("c", "d", 1), ("a", "c", 1), ("a", "d", 2), ("b", "d", 3), ("b", "a", 1), ("a", "b", 1)} <= set(got)
+
+
+def test_walks_need_paths(spark):
+    with pytest.raises(ValueError):
+        h.hierarchy(frame(spark, []), "id", "up", with_walks=True)
