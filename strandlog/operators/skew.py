@@ -48,13 +48,20 @@ class SaltedResult:
     heavy: list[int]
 
 
-def salted_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], heavy_share: float = 0.005, salts: int = 64) -> SaltedResult:
+def spread_hash(df: DataFrame, columns: list[str]):
+    """A hash of the row's values in ``columns``; maps, which Spark does not hash, as their entries."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    return F.xxhash64(*[F.map_entries(c) if kinds[c] == "map" else F.col(c) for c in columns])
+
+
+def salted_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], heavy_share: float = 0.005, salts: int = 64, spread: list[str] | None = None) -> SaltedResult:
     """One row per key with the given measures, no task bound to one heavy key.
 
     1. Keys with at least ``heavy_share`` of all rows are found by an exact, map-side
        combined count; no more than ``1 / heavy_share`` of them exist.
     2. Rows are reduced per (key, salt), the salt of a heavy key being drawn from the
-       row's values.  With a count_distinct measure the values are first made unique per
+       row's values: those of ``spread`` if given, else those the measures name, else all
+       columns (maps as their entries).  With a count_distinct measure the values are first made unique per
        key, spread over all tasks by (key, value), and the salt is drawn from the value, so
        the salts hold disjoint values and their counts add up.
     3. The partial rows, at most ``salts`` for a key, are merged by the key.
@@ -80,8 +87,8 @@ def salted_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], he
         salted = rows.withColumn("__salt", salt_for(heavy, key_hash(*k), F.xxhash64("__d"), salts))
         partial = salted.groupBy(*k, "__salt").agg(F.count("__d").alias("__nd"), *[_fold(m.kind, True)(f"__p{i}").alias(f"__p{i}") for i, m in enumerate(plain)])
     else:
-        spread = F.xxhash64(*(used or keys))
-        salted = df.select(*named, *values, salt_for(heavy, key_hash(*keys), spread, salts).alias("__salt"))
+        drawn = spread_hash(df, spread or used or df.columns)
+        salted = df.select(*named, *values, salt_for(heavy, key_hash(*keys), drawn, salts).alias("__salt"))
         partial = salted.groupBy(*k, "__salt").agg(F.lit(0).alias("__nd"), *[_fold(m.kind, False)(f"__v{i}").alias(f"__p{i}") for i, m in enumerate(plain)])
 
     merged = partial.groupBy(*k).agg(F.sum("__nd").alias("__nd"), *[_fold(m.kind, True)(f"__p{i}").alias(f"__p{i}") for i, m in enumerate(plain)])
@@ -98,11 +105,12 @@ def salted_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], he
     return SaltedResult(merged.select(*[F.col(a).alias(c) for a, c in zip(k, keys)], *out), total, heavy)
 
 
-def keys_with_share(df: DataFrame, key: str, share: float, heavy_share: float = 0.005, salts: int = 64) -> DataFrame:
+def keys_with_share(df: DataFrame, key: str, share: float, heavy_share: float = 0.005, salts: int = 64, spread: list[str] | None = None) -> DataFrame:
     """The non-null keys that hold at least ``share`` of all rows, with their row counts.
 
     An empty table has none.  The comparison is made in whole numbers on both sides of
-    ``rows >= share * total``.
+    ``rows >= share * total``.  ``spread`` names what tells a key's rows apart (all columns
+    if not given, which then are all read).
     """
-    r = salted_aggregate(df, [key], [Measure("n_rows", "count")], heavy_share, salts)
+    r = salted_aggregate(df, [key], [Measure("n_rows", "count")], heavy_share, salts, spread)
     return r.frame.where(F.col(key).isNotNull() & (F.col("n_rows") >= share * r.total_rows))

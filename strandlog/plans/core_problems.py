@@ -22,7 +22,7 @@ def _amount():
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return skew.keys_with_share(table(spark, folder, "event_log"), "stream_id", HOT_STREAM_SHARE).select("stream_id")
+    return skew.keys_with_share(table(spark, folder, "event_log"), "stream_id", HOT_STREAM_SHARE, spread=["delivery_id"]).select("stream_id")
 
 
 def p1_stream_totals(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,9 @@ from collections import defaultdict
 
 import pytest
 
+from strandlog.operators import skew
 from strandlog.operators.skew import Measure, keys_with_share, salted_aggregate
+from strandlog.runtime import salt_for
 
 MEASURES = [Measure("rows", "count"), Measure("ids", "count_distinct", "id"), Measure("top", "max", "v"), Measure("low", "min", "v"), Measure("total", "sum", "v"), Measure("first", "min_by", "id", "v"), Measure("last", "max_by", "id", "v")]
 
@@ -54,3 +56,13 @@ def test_keys_with_share_takes_the_exact_limit(spark):
 def test_wrong_use(spark):
     with pytest.raises(ValueError):
         salted_aggregate(make(spark, []), ["k"], [Measure("a", "count_distinct", "id"), Measure("b", "count_distinct", "v")])
+
+
+@pytest.mark.parametrize("spread", [None, ["id"]])
+def test_a_heavy_key_gets_more_than_one_salt_without_measured_columns(spark, monkeypatch, spread):
+    drawn = []
+    monkeypatch.setattr(skew, "salt_for", lambda heavy, hashed, by, salts: drawn.append((heavy, by)) or salt_for(heavy, hashed, by, salts))
+    rows = make(spark, [("hot", str(i), i) for i in range(200)] + [("k", "x", 1)]).selectExpr("*", "map('a', id) AS m")
+    assert {(r.k, r.n_rows) for r in keys_with_share(rows, "k", 0.5, 0.5, 8, spread=spread).collect()} == {("hot", 200)}
+    heavy, by = drawn[0]
+    assert rows.where("k = 'hot'").select(salt_for(heavy, skew.key_hash("k"), by, 8).alias("salt")).distinct().count() == 8
