@@ -267,16 +267,17 @@ class DeliveryIndex:
         return self._each_prefix(_scan(self._located()), "id string, row long")
 
 
-def duplicate_rows(df: DataFrame, id_col: str, time_col: str, row_col: str, batch_col: str, index_path: str, rounds: int = 4, prefixes: int = 128) -> DataFrame:
+def duplicate_rows(df: DataFrame, id_col: str, time_col: str, row_col: str, batch_col: str, index_path: str, rounds: int = 4, prefixes: int = 128, max_runs: int = 2) -> DataFrame:
     """Rows of a log that are not to stay, taking its batches in order through a new index.
 
     The log's batches are taken in ``rounds`` groups of neighbouring batch numbers (a null
-    batch number goes with the first), as a consumer that runs now and then would.  The
-    result does not depend on the grouping.
+    batch number goes with the first), as a consumer that runs now and then would; more than
+    ``max_runs`` runs of the index are merged on the way.  The result does not depend on
+    either.
     """
     spark = df.sparkSession
     span = df.agg(F.min(batch_col).alias("a"), F.max(batch_col).alias("z")).first()
-    index = DeliveryIndex(spark, index_path, prefixes)
+    index = DeliveryIndex(spark, index_path, prefixes, max_runs)
     if span.a is None:
         return index.apply(df, id_col, time_col, row_col)
     width = (span.z - span.a) // rounds + 1

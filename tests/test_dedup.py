@@ -72,3 +72,13 @@ def test_second_writer_is_refused(spark):
 
 def test_empty(spark):
     assert duplicate_rows(frame(spark, []), "id", "at", "d", "b", Scratch(spark, "t").path("i")).count() == 0
+
+
+def test_whole_log_merges_runs_on_the_way(spark, monkeypatch):
+    merged = []
+    compact = DeliveryIndex.compact
+    monkeypatch.setattr(DeliveryIndex, "compact", lambda self: merged.append(len(self.runs)) or compact(self))
+    rows, path = some(5), Scratch(spark, "t").path("i")
+    got = [r[0] for r in duplicate_rows(frame(spark, rows), "id", "at", "d", "b", path, prefixes=3).collect()]
+    assert merged == [3] and len(DeliveryIndex(spark, path).runs) == 2
+    assert sorted(got) == sorted(brute(rows))
