@@ -16,7 +16,7 @@ FAN = 16
 #: Prefixes that one pass over the sequences grows; more are grown in several passes.
 PREFIXES_A_PASS = 20_000
 
-_POINT = fields("seq string, block long, ord long, code int")
+_POINT = fields("seq string, block long, ord long, id string, code int")
 _SEQUENCE = fields("codes array<int>")
 _COUNT = fields("prefix int, code int, n long")
 
@@ -45,27 +45,26 @@ def _useful(n_codes: int, longest: int):
 
 
 def _reduce_points(n_codes: int, longest: int):
-    """Drop from each block what no leftmost match inside the block ends at; rows sorted by (seq, block, ord)."""
+    """Drop from each block what no leftmost match inside the block ends at; rows sorted by (seq, block, ord, id)."""
 
     def work(batches):
         import pyarrow as pa
 
-        group, keep, before = None, None, None
+        group, keep = None, None
         for b in batches:
             picked = []
-            for i, (s, k, o, c) in enumerate(zip(*(b.column(x).to_pylist() for x in ("seq", "block", "ord", "code")))):
+            for i, (s, k, c) in enumerate(zip(*(b.column(x).to_pylist() for x in ("seq", "block", "code")))):
                 if group != (s, k):
-                    group, keep, before = (s, k), _useful(n_codes, longest), None
-                if (o, c) != before and keep(c):
+                    group, keep = (s, k), _useful(n_codes, longest)
+                if keep(c):
                     picked.append(i)
-                before = (o, c)
             yield b.take(pa.array(picked, pa.int64()))
 
     return work
 
 
 def _sequences(n_codes: int, longest: int):
-    """The reduced sequence of each ``seq`` as one array; rows sorted by (seq, ord)."""
+    """The reduced sequence of each ``seq`` as one array; rows sorted by (seq, ord, id)."""
 
     def work(batches):
         import pyarrow as pa
@@ -174,16 +173,16 @@ def frequent_patterns(
     points = rows.where(valid & F.col("item").isin(items)).select("seq", "ord", "id", code[F.col("item")].alias("code")).distinct()
     points = points.select("seq", block_of("ord", block).alias("block"), "ord", "id", "code")
     reduce = _reduce_points(len(items), longest)
-    points = points.repartition("seq", "block").sortWithinPartitions("seq", "block", "ord", "id").drop("id").mapInArrow(reduce, _POINT)
+    points = points.repartition("seq", "block").sortWithinPartitions("seq", "block", "ord", "id").mapInArrow(reduce, _POINT)
     points = scratch.write(points, "points0")
     span = points.agg(F.min("block").alias("a"), F.max("block").alias("z")).first()
     low, width, k = span.a, span.z - span.a + 1, 0
     while width > FAN:  # only sequences of more than FAN blocks need another reduction before they are joined
         k += 1
         joined = points.withColumn("block", F.col("block") - F.lit(low)).withColumn("block", block_of("block", FAN))
-        points = scratch.write(joined.repartition("seq", "block").sortWithinPartitions("seq", "block", "ord").mapInArrow(reduce, _POINT), f"points{k}")
+        points = scratch.write(joined.repartition("seq", "block").sortWithinPartitions("seq", "block", "ord", "id").mapInArrow(reduce, _POINT), f"points{k}")
         low, width = 0, -(-width // FAN)
-    ordered = points.select("seq", "ord", "code").repartition("seq").sortWithinPartitions("seq", "ord")
+    ordered = points.select("seq", "ord", "id", "code").repartition("seq").sortWithinPartitions("seq", "ord", "id")
     sequences = scratch.write(ordered.mapInArrow(_sequences(len(items), longest), _SEQUENCE), "sequences")
 
     found: list[tuple[tuple[int, ...], int]] = [((i,), single[t]) for i, t in enumerate(items)]

@@ -77,3 +77,17 @@ def test_reduction_keeps_all_short_patterns():
 def test_empty_and_none_frequent(spark):
     assert run(spark, []) == {}
     assert run(spark, [("a", 0, "X", "1"), ("b", 0, "Y", "2"), ("c", 0, None, "3")], Fraction(1, 2)) == {}
+
+
+@pytest.mark.parametrize("block", [2, p.BLOCK])
+def test_equal_order_and_item_under_two_ids_are_two_items(spark, block):
+    rows = [("a", 1, "X", "i"), ("a", 1, "X", "j"), ("b", 5, "X", "k"), ("b", 5, "X", "l"), ("b", 5, "X", "l")]
+    assert run(spark, rows, Fraction(1), block=block) == {("X", "X"): 2}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ties_are_ordered_by_id_in_all_reductions(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"s{s}", rng.choice([0, 1, 40, 41, 90]), rng.choice("ABC"), f"{s}-{rng.randrange(10**6)}") for s in range(10) for _ in range(8)]
+    rng.shuffle(rows)
+    assert run(spark, rows, Fraction(1, 2), block=2) == brute(rows, Fraction(1, 2), 2, 4)
