@@ -189,14 +189,15 @@ class IntervalLedger:
         """Process what is pending of ``events`` (columns stream, number, arrived and more).
 
         ``process`` gets the pending rows, one or more per event as delivered, and returns the
-        output.  ``seen`` is the largest ``arrived`` this run may use; later rows wait.
+        output.  ``seen`` is the largest ``arrived`` this run may use; later rows wait.  A null
+        ``arrived`` was there from the start: its event goes with the next run, once.
         Returns the number of the commit.
         """
         done = self._commits()
         claims = self.intervals()
         run = f"run-{uuid.uuid4().hex}"
-        visible = events.where(F.col("arrived") <= seen)
-        todo = pending(visible, claims, self.block)
+        visible = events.where(F.col("arrived").isNull() | (F.col("arrived") <= seen))
+        todo = pending(visible.withColumn("arrived", F.coalesce("arrived", F.lit(-(2**63)))), claims, self.block)
         todo.write.parquet(f"{self.path}/{run}/taken")
         taken = self.spark.read.schema(_PENDING).parquet(f"{self.path}/{run}/taken")
         key = taken.select(F.col("stream").alias("__s"), F.col("number").alias("__n"))
@@ -205,8 +206,9 @@ class IntervalLedger:
         fresh = taken.select("stream", F.col("number").alias("first"), F.col("number").alias("last"), F.lit(seen).cast("long").alias("seen"))
         every = claims.unionByName(fresh)
         bounds = every.groupBy("stream").agg(F.min("first").alias("low"), F.max("last").alias("high"))
-        # With one value of seen the intervals join up; what a claim saw no longer matters once it is done.
-        disjoint_intervals(every.withColumn("seen", F.lit(seen).cast("long")), bounds, self.block).write.parquet(f"{self.path}/{run}/intervals")
+        # With one value of seen the intervals join up; it must not fall behind an earlier run's, or what that run took would be pending again.
+        most = max([seen, *(c["seen"] for c in done)])
+        disjoint_intervals(every.withColumn("seen", F.lit(most).cast("long")), bounds, self.block).write.parquet(f"{self.path}/{run}/intervals")
         if not create_exclusive(self.spark, f"{self.path}/commits/{len(done):09d}.json", json.dumps({"run": run, "seen": seen})):
             raise RuntimeError("another run committed first; nothing of this run counts")
         return len(done)

@@ -12,6 +12,7 @@ from strandlog.runtime import Scratch
 from strandlog.sources.tables import table
 
 HOT_STREAM_SHARE = 0.02
+LEDGER_RUNS = 3
 
 
 def _amount():
@@ -187,6 +188,25 @@ SELECT stream_id, version FROM e WHERE NOT EXISTS (
   AND r.from_version <= e.version AND e.version <= r.to_version AND r.read_to_batch >= e.arrived)"""
 
 
+def p6_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The run that takes each event, when the whole log goes through a new ledger in runs of neighbouring batches."""
+    e = _arrivals(spark, folder)
+    span = e.agg(F.min("arrived").alias("a"), F.max("arrived").alias("z")).first()
+    low = span.a or 0
+    width = ((span.z or 0) - low) // LEDGER_RUNS + 1
+    ledger = increments.IntervalLedger(spark, Scratch(spark, "ledger").path("runs"))
+    for k in range(LEDGER_RUNS):
+        ledger.run(e, lambda rows, k=k: rows.select("stream", "number", F.lit(k).cast("long").alias("run")).distinct(), low + (k + 1) * width - 1)
+    return ledger.output().select(F.col("stream").alias("stream_id"), F.col("number").alias("version"), "run")
+
+
+P6_LEDGER_SQL = f"""
+WITH e AS (SELECT stream_id, version, min(coalesce(batch_id, (SELECT min(batch_id) FROM event_log))) AS arrived
+  FROM event_log WHERE stream_id IS NOT NULL AND version IS NOT NULL GROUP BY stream_id, version),
+b AS (SELECT min(batch_id) AS low, (max(batch_id) - min(batch_id)) // {LEDGER_RUNS} + 1 AS width FROM event_log)
+SELECT stream_id, version, CAST((arrived - low) // width AS BIGINT) AS run FROM e, b"""
+
+
 def p6_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """What the committed runs cover of the versions that exist, as disjoint intervals."""
     e = _arrivals(spark, folder)
@@ -225,11 +245,11 @@ SELECT pattern, count(*) AS support FROM (SELECT * FROM k3 UNION ALL SELECT * FR
 QUERIES = {
     "p1_found": p1_found, "p1_stream_totals": p1_stream_totals, "p2_found": p2_found, "p2_paths": p2_paths, "p2_effects": p2_effects,
     "p2_all_paths": p2_all_paths, "p2_all_effects": p2_all_effects,
-    "p3_features": p3_features, "p3_cells": p3_cells, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_intervals": p6_intervals,
+    "p3_features": p3_features, "p3_cells": p3_cells, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_ledger": p6_ledger, "p6_intervals": p6_intervals,
 }
 
 ORACLES = {
     "p1_found": P1_FOUND_SQL, "p1_stream_totals": P1_TOTALS_SQL, "p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL, "p2_effects": P2_EFFECTS_SQL,
     "p2_all_paths": P2_ALL_PATHS_SQL, "p2_all_effects": P2_ALL_EFFECTS_SQL,
-    "p3_cells": P3_CELLS_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_intervals": P6_INTERVALS_SQL,
+    "p3_cells": P3_CELLS_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_ledger": P6_LEDGER_SQL, "p6_intervals": P6_INTERVALS_SQL,
 }

@@ -86,3 +86,14 @@ def test_ledger_takes_late_events_once_and_survives_failure(spark):
     assert {(r.stream, r.first, r.last) for r in ledger.intervals().collect()} == {("a", 0, 5), ("a", 7, 7), ("b", 0, 1)}
     ledger.run(events(spark, log + late).where(F.lit(True)), out, seen=9)
     assert ledger.output().where("number = 6").count() == 1
+
+
+def test_ledger_takes_null_arrivals_once_and_keeps_what_earlier_runs_saw(spark):
+    ledger = IntervalLedger(spark, Scratch(spark, "t").path("ledger"), block=4)
+    log = [("a", 0, None), ("a", 1, 5), ("a", 2, 1), ("a", 2, None), ("b", 0, None)]
+    out = lambda df: df.select("stream", "number").distinct()
+    for seen in (5, 2, 7):  # the second run sees less than the first
+        ledger.run(events(spark, log), out, seen)
+        assert {r.seen for r in ledger.intervals().collect()} == {max(5, seen)}
+    ledger.run(events(spark, [*log, ("a", 3, None)]), out, 1)
+    assert sorted(tuple(r) for r in ledger.output().collect()) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]
