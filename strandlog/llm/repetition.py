@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.runtime import Scratch
+
 #: Letters in a run that counts as repeated.
 RUN = 20
 #: Texts longer than this many characters are taken apart into rows instead of arrays; the result is the same.
@@ -166,12 +168,13 @@ THRESHOLDS = (
 REPEATED_LETTERS = (Threshold("repeated_letters", "repeated_letter_share", ">=", 0.4),)
 
 
-def compile_thresholds(rows: DataFrame, text_col: str, table, decide_only: bool = False) -> DataFrame:
+def compile_thresholds(rows: DataFrame, text_col: str, table, decide_only: bool = False, given: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with the ratios of a threshold table over a text column, each made once, and its flags.
 
     Nothing but built-in expressions in one stage: words and lines, then ratios, then flags.
     With ``decide_only`` only the flags are added, and a ratio may be taken as 0 where it is
-    sure to miss its thresholds, which is cheaper.
+    sure to miss its thresholds, which is cheaper.  ``given`` names the columns of ratios that
+    ``rows`` has already.
     """
     if bad := [t for t in table if t.op not in (">=", "<=") or t.metric not in METRICS]:
         raise ValueError(f"unknown metric or comparison: {bad}")
@@ -184,7 +187,7 @@ def compile_thresholds(rows: DataFrame, text_col: str, table, decide_only: bool
     text = _text(F.col(text_col))
     parts = rows.withColumns({"__text": text, "__words": _words(text), "__lines": _lines(text, "\n")})
     of = Parts(F.col("__text"), F.col("__words"), F.col("__lines"))
-    ratios = parts.select(*rows.columns, *[METRICS[m](of, least(m)).alias(m) for m in metrics])
+    ratios = parts.select(*rows.columns, *[(F.col(given[m]) if given and m in given else METRICS[m](of, least(m))).alias(m) for m in metrics])
     flags = [(F.col(t.metric) >= t.value if t.op == ">=" else F.col(t.metric) <= t.value).alias(t.flag) for t in table]
     return ratios.select(*rows.columns, *([] if decide_only else metrics), *flags)
 
@@ -207,14 +210,27 @@ def _long_texts(df: DataFrame, id_col: str, text_col: str, run: int = RUN) -> Da
     return back.select("row", "id", _share(F.coalesce("covered", F.lit(0)), F.col("n")).alias("share"))
 
 
-def measure(df: DataFrame, id_col: str, text_col: str, table=THRESHOLDS) -> DataFrame:
+def measure(df: DataFrame, id_col: str, text_col: str, table=THRESHOLDS, long_text: int = LONG_TEXT) -> DataFrame:
     """``id_col`` with every ratio and flag of the table, one row per row, all in one projection.
 
+    Only of texts of more than ``long_text`` characters, which are written to the shared
+    folder, the repeated letters are found on windows spread as rows, with the same result.
+
     Null and empty texts have ratios of 0 (and the flags that follow).  Rows with repeated or null
     ids are kept.  Other columns of the input play no part.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__raw"))
-    return compile_thresholds(rows, "__raw", table).drop("__raw").withColumnRenamed("__id", id_col)
+    if all(t.metric != "repeated_letter_share" for t in table):
+        return compile_thresholds(rows, "__raw", table).drop("__raw").withColumnRenamed("__id", id_col)
+    is_long = F.coalesce(F.length("__raw"), F.lit(0)) > long_text
+    short = compile_thresholds(rows.where(~is_long), "__raw", table).drop("__raw")
+    long = Scratch(df.sparkSession, "texts").write(rows.where(is_long).withColumn("__row", F.monotonically_increasing_id()), "long")
+    if long.isEmpty():
+        return short.withColumnRenamed("__id", id_col)
+    shares = _long_texts(long, "__row", "__raw").select(F.col("id").alias("__of"), F.col("share").alias("__share"))
+    known = long.join(shares, F.col("__row") == F.col("__of")).select("__id", "__raw", "__share")
+    far = compile_thresholds(known, "__raw", table, given={"repeated_letter_share": "__share"}).drop("__raw", "__share")
+    return short.union(far).withColumnRenamed("__id", id_col)
 
 
 def repeated_documents(df: DataFrame, id_col: str, text_col: str, at_least: float = 0.4, long_text: int = LONG_TEXT) -> DataFrame:

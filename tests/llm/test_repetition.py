@@ -85,3 +85,12 @@ def test_unknown_metric_and_empty_table(spark):
         r.compile_thresholds(frame(spark, []), "text", [r.Threshold("x", "nothing", ">=", 1)])
     assert r.measure(frame(spark, []), "doc_id", "text").count() == 0
     assert r.repeated_documents(frame(spark, []), "doc_id", "text").count() == 0
+
+
+def test_ratios_of_long_texts_are_the_same_on_windows_as_rows(spark, monkeypatch):
+    rows = frame(spark, texts()).selectExpr("nullif(doc_id % 5, 0) AS doc_id", "text", "id")  # repeated and null ids
+    want = sorted(map(str, r.measure(rows, "doc_id", "text").collect()))
+    sizes, spread = [], r._long_texts
+    monkeypatch.setattr(r, "_long_texts", lambda df, *a: sizes.append(df.count()) or spread(df, *a))
+    got = sorted(map(str, r.measure(rows, "doc_id", "text", long_text=30).collect()))
+    assert got == want and sizes == [sum(len(t or "") > 30 for t in texts())]
