@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +58,8 @@ def spread_hash(df: DataFrame, columns: list[str]):
 def salted_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], heavy_share: float = 0.005, salts: int = 64, spread: list[str] | None = None) -> SaltedResult:
     """One row per key with the given measures, no task bound to one heavy key.
 
-    1. Keys with at least ``heavy_share`` of all rows are found by an exact, map-side
-       combined count; no more than ``1 / heavy_share`` of them exist.
+    1. Keys with at least ``heavy_share`` of all rows are found by a sketch of bounded size
+       in one pass; no more than about ``1 / heavy_share`` of them exist.
     2. Rows are reduced per (key, salt), the salt of a heavy key being drawn from the
        row's values: those of ``spread`` if given, else those the measures name, else all
        columns (maps as their entries).  With a count_distinct measure the values are first made unique per
@@ -105,12 +106,14 @@ def salted_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], he
     return SaltedResult(merged.select(*[F.col(a).alias(c) for a, c in zip(k, keys)], *out), total, heavy)
 
 
-def keys_with_share(df: DataFrame, key: str, share: float, heavy_share: float = 0.005, salts: int = 64, spread: list[str] | None = None) -> DataFrame:
+def keys_with_share(df: DataFrame, key: str, share: float | Fraction, heavy_share: float = 0.005, salts: int = 64, spread: list[str] | None = None) -> DataFrame:
     """The non-null keys that hold at least ``share`` of all rows, with their row counts.
 
     An empty table has none.  The comparison is made in whole numbers on both sides of
     ``rows >= share * total``.  ``spread`` names what tells a key's rows apart (all columns
     if not given, which then are all read).
     """
+    limit = Fraction(share).limit_denominator(10**6)
     r = salted_aggregate(df, [key], [Measure("n_rows", "count")], heavy_share, salts, spread)
-    return r.frame.where(F.col(key).isNotNull() & (F.col("n_rows") >= share * r.total_rows))
+    least = -(-r.total_rows * limit.numerator // limit.denominator)  # the least whole number that reaches the share
+    return r.frame.where(F.col(key).isNotNull() & (F.col("n_rows") >= least))

@@ -11,7 +11,7 @@ from strandlog.operators import dedup, features, hierarchy, increments, patterns
 from strandlog.runtime import Scratch
 from strandlog.sources.tables import table
 
-HOT_STREAM_SHARE = 0.02
+HOT_STREAM_SHARE = Fraction(2, 100)
 LEDGER_RUNS = 3
 
 

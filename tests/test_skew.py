@@ -4,7 +4,7 @@ import pytest
 
 from strandlog.operators import skew
 from strandlog.operators.skew import Measure, keys_with_share, salted_aggregate
-from strandlog.runtime import salt_for
+from strandlog.runtime import heavy_keys, salt_for
 
 MEASURES = [Measure("rows", "count"), Measure("ids", "count_distinct", "id"), Measure("top", "max", "v"), Measure("low", "min", "v"), Measure("total", "sum", "v"), Measure("first", "min_by", "id", "v"), Measure("last", "max_by", "id", "v")]
 
@@ -53,6 +53,19 @@ def test_keys_with_share_takes_the_exact_limit(spark):
     assert {r.k for r in keys_with_share(make(spark, with_null), "k", 0.02).collect()} == {"a"}
 
 
+def test_keys_with_share_compares_whole_numbers(spark):
+    rows = spark.range(100).selectExpr("if(id < 7, 'a', concat('k', id)) AS k", "id")  # 0.07 * 100 is above 7 in doubles
+    assert [r.k for r in keys_with_share(rows, "k", 0.07, spread=["id"]).collect()] == ["a"]
+
+
+def test_heavy_keys_names_every_key_at_the_limit_and_few_others(spark):
+    rows = spark.range(200_000).selectExpr("CASE WHEN id < 1000 THEN 'edge' WHEN id < 60000 THEN 'hot' WHEN id < 62000 THEN null ELSE cast(id AS string) END AS k")
+    total, heavy = heavy_keys(rows, ["k"], 0.005)
+    want = {r.h for r in rows.where("k IN ('edge', 'hot') OR k IS NULL").select(skew.key_hash("k").alias("h")).distinct().collect()}
+    assert total == 200_000 and want <= set(heavy) and len(heavy) <= 5
+    assert heavy_keys(rows.limit(0), ["k"], 0.005) == (0, [])
+
+
 def test_wrong_use(spark):
     with pytest.raises(ValueError):
         salted_aggregate(make(spark, []), ["k"], [Measure("a", "count_distinct", "id"), Measure("b", "count_distinct", "v")])
