@@ -6,10 +6,10 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlog.runtime import block_of, create_exclusive, fields, full_uri, heavy_keys, join_to_unique, list_names, read_text
+from strandlog.runtime import Scratch, block_of, create_exclusive, fields, full_uri, heavy_keys, join_to_unique, list_names, read_text, running_by_slots
 
 #: Sequence numbers per block.  Work on a stream is split into blocks of this many numbers.
 BLOCK = 4096
@@ -38,85 +38,36 @@ def cut_claims(claims: DataFrame, bounds: DataFrame, block: int = BLOCK) -> Data
     ).groupBy("stream", "block", "first", "last").agg(F.max("seen").alias("seen"))
 
 
-def _sweep(batches):
-    """Rows sorted by (stream, block, first, kind): claims (kind 0) before the events (kind 1) they may cover.
+def _segments(pieces: DataFrame) -> DataFrame:
+    """``stream, block, first, last, seen``: pieces of :func:`cut_claims` as segments that do not overlap.
 
-    Of the claims open at an event the one that saw most decides; claims that neither last
-    longer nor saw more than the leading one are not even kept.
+    The ends of a block's pieces, ranked, cut it into elementary segments (at most as many as
+    it has numbers).  A piece marks those between its two ranks, the largest ``seen`` of a
+    mark stands, and neighbours with one ``seen`` are joined.  All of it runs inside
+    (stream, block), after one exchange.
     """
-    import heapq
-
-    import pyarrow as pa
-
-    group, open_claims = None, []
-    for b in batches:
-        out_s, out_n = [], []
-        for s, blk, first, kind, last, seen in zip(*(b.column(c).to_pylist() for c in ("stream", "block", "first", "kind", "last", "seen"))):
-            if group != (s, blk):
-                group, open_claims = (s, blk), []
-            while open_claims and open_claims[0][1] < first:
-                heapq.heappop(open_claims)
-            if kind == 0:
-                if not open_claims or seen > -open_claims[0][0] or last > open_claims[0][1]:
-                    heapq.heappush(open_claims, (-seen, last))
-            elif not open_claims or seen is None or -open_claims[0][0] < seen:
-                out_s.append(s)
-                out_n.append(first)
-        if out_s:
-            yield pa.record_batch([pa.array(out_s, pa.string()), pa.array(out_n, pa.int64())], names=["stream", "number"])
-
-
-def _envelope(batches):
-    """Disjoint segments with the largest ``seen`` of the claims over them; input sorted by (stream, block, first)."""
-    import heapq
-
-    import pyarrow as pa
-
-    def segments(claims):
-        heap, at, out = [], None, []
-
-        def emit(a, z, seen):
-            if out and out[-1][1] + 1 == a and out[-1][2] == seen:
-                out[-1][1] = z
-            else:
-                out.append([a, z, seen])
-
-        def upto(limit):
-            """Emit what is covered below ``limit`` by the open claims."""
-            nonlocal at
-            while heap and at < limit:
-                seen, last = -heap[0][0], heap[0][1]
-                if last < at:
-                    heapq.heappop(heap)
-                    continue
-                z = min(last, limit - 1)
-                emit(at, z, seen)
-                at = z + 1
-
-        for first, last, seen in claims:
-            if at is not None:
-                upto(first)
-            at = first if at is None else max(at, first)
-            heapq.heappush(heap, (-seen, last))
-        if claims:
-            upto(max(c[1] for c in claims) + 1)
-        return out
-
-    group, claims = None, []
-
-    def flush():
-        rows = segments(claims)
-        return pa.record_batch([pa.array([group[0]] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=_SEGMENT.names)
-
-    for b in batches:
-        for s, blk, first, last, seen in zip(*(b.column(c).to_pylist() for c in ("stream", "block", "first", "last", "seen"))):
-            if group != (s, blk):
-                if claims:
-                    yield flush()
-                group, claims = (s, blk), []
-            claims.append((first, last, seen))
-    if claims:
-        yield flush()
+    here = ["stream", "block"]
+    ends = pieces.select(*here, "first", "last", "seen", F.explode(F.array(F.col("first"), F.col("last") + 1)).alias("at"))
+    ranked = ends.withColumn("rank", F.dense_rank().over(Window.partitionBy(*here).orderBy("at")))
+    spans = ranked.groupBy(*here, "first", "last").agg(F.min("rank").alias("a"), F.max("rank").alias("z"), F.max("seen").alias("seen"))
+    none = F.lit(None).cast("long")
+    mark = lambda rank, at, seen: F.struct(rank.alias("rank"), at.cast("long").alias("at"), seen.cast("long").alias("seen"))
+    marks = F.concat(
+        F.transform(F.sequence(F.col("a"), F.col("z") - 1), lambda r: mark(r, none, F.col("seen"))),
+        F.array(mark(F.col("a"), F.col("first"), none), mark(F.col("z"), F.col("last") + 1, none)),
+    )
+    cells = spans.select(*here, F.inline(marks)).groupBy(*here, "rank").agg(F.max("at").alias("first"), F.max("seen").alias("seen"))
+    order = Window.partitionBy(*here).orderBy("rank")
+    cells = cells.withColumn("last", F.lead("first").over(order) - 1).withColumn("new", ~F.col("seen").eqNullSafe(F.lag("seen").over(order)))
+    cells = cells.withColumn("run", F.sum(F.col("new").cast("int")).over(order)).where(F.col("seen").isNotNull())
+    return cells.groupBy(*here, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("seen").alias("seen")).drop("run")
+
+
+def _as_intervals(numbers: DataFrame, block: int) -> DataFrame:
+    """``stream, first, last`` of the runs of neighbouring numbers, not across blocks; rows must be unique."""
+    n = numbers.select("stream", "number", block_of("number", block).alias("block"))
+    n = n.withColumn("run", F.col("number") - F.row_number().over(Window.partitionBy("stream", "block").orderBy("number")))
+    return n.groupBy("stream", "block", "run").agg(F.min("number").alias("first"), F.max("number").alias("last")).drop("block", "run")
 
 
 def disjoint_intervals(claims: DataFrame, bounds: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -125,14 +76,14 @@ def disjoint_intervals(claims: DataFrame, bounds: DataFrame, block: int = BLOCK)
     ``seen`` is the largest of the claims over the interval.  Intervals that touch across a
     block edge with one ``seen`` are joined.
     """
-    pieces = cut_claims(claims, bounds, block).repartition("stream", "block").sortWithinPartitions("stream", "block", "first", "last")
-    parts = pieces.mapInArrow(_envelope, _SEGMENT)
-    from pyspark.sql import Window
-
-    # Few rows are left here: a stream has as many as its claims leave apart, not as it has events.
-    w = Window.partitionBy("stream").orderBy("first")
-    begins = F.when((F.lag("last").over(w) + 1 == F.col("first")) & (F.lag("seen").over(w) == F.col("seen")), 0).otherwise(1)
-    runs = parts.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    scratch = Scratch(claims.sparkSession, "intervals")
+    parts = scratch.write(_segments(cut_claims(claims, bounds, block)), "parts")
+    # A part goes on with the one before if that ends right there with the same seen: keys of this join are unique.
+    ends = parts.select(F.col("stream").alias("e_stream"), (F.col("last") + 1).alias("e_next"), F.col("seen").alias("e_seen"))
+    same = (F.col("stream") == F.col("e_stream")) & (F.col("first") == F.col("e_next")) & (F.col("seen") == F.col("e_seen"))
+    begins = parts.join(ends, same, "left").select("stream", "block", "first", "last", "seen", F.when(F.col("e_stream").isNull(), F.col("first")).alias("begin"))
+    # The latest beginning names the run; a stream of many blocks is worked on in slots of blocks.
+    runs = running_by_slots(scratch.write(begins.withColumn("slot", block_of("block", BLOCK)), "begins"), "stream", "slot", ["first"], {"run": ("max", "begin")})
     return runs.groupBy("stream", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("seen").alias("seen")).drop("run")
 
 
@@ -146,17 +97,22 @@ def pending(events: DataFrame, claims: DataFrame, block: int = BLOCK) -> DataFra
     number are no events; a null ``arrived`` was seen by nobody.  Without claims everything
     is pending.
 
-    Streams are cut into blocks of ``block`` numbers, so a stream with a third of all
-    events is worked on by many tasks.  The two sides meet by one exchange of sorted rows;
-    no pairs of claims and events are formed.
+    The claims become disjoint intervals with what they saw (the largest where several
+    overlap), which are subtracted from the numbers that exist: at each number the last
+    interval that begins at or before it decides.  Streams are cut into blocks of ``block``
+    numbers, so a stream with a third of all events is worked on by many tasks.  The two
+    sides meet by one exchange of sorted rows; no pairs of claims and events are formed.
     """
     e = events.where(F.col("stream").isNotNull() & F.col("number").isNotNull())
     e = e.groupBy("stream", "number").agg(F.min("arrived").alias("arrived"))
     bounds = e.groupBy("stream").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    c = cut_claims(claims, bounds, block).select("stream", "block", "first", F.lit(0).alias("kind"), "last", "seen")
-    rows = e.select("stream", block_of("number", block).alias("block"), F.col("number").alias("first"), F.lit(1).alias("kind"), F.col("number").alias("last"), F.col("arrived").alias("seen"))
-    both = c.unionByName(rows).repartition("stream", "block").sortWithinPartitions("stream", "block", "first", "kind", "last")
-    return both.mapInArrow(_sweep, _PENDING)
+    none = F.lit(None).cast("long")
+    taken = _segments(cut_claims(claims, bounds, block)).select("stream", "block", F.col("first").alias("number"), F.lit(0).alias("kind"), none.alias("arrived"), F.struct("last", "seen").alias("interval"))
+    there = e.select("stream", block_of("number", block).alias("block"), "number", F.lit(1).alias("kind"), "arrived", F.lit(None).cast(taken.schema["interval"].dataType).alias("interval"))
+    before = Window.partitionBy("stream", "block").orderBy("number", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = taken.unionByName(there).withColumn("interval", F.last("interval", ignorenulls=True).over(before))
+    done = (F.col("interval.last") >= F.col("number")) & (F.col("interval.seen") >= F.col("arrived"))
+    return met.where((F.col("kind") == 1) & ~F.coalesce(done, F.lit(False))).select("stream", "number")
 
 
 class IntervalLedger:
@@ -203,7 +159,7 @@ class IntervalLedger:
         key = taken.select(F.col("stream").alias("__s"), F.col("number").alias("__n"))
         rows = visible.join(key, (F.col("stream") == F.col("__s")) & (F.col("number") == F.col("__n")), "left_semi")
         process(rows).write.parquet(f"{self.path}/{run}/output")
-        fresh = taken.select("stream", F.col("number").alias("first"), F.col("number").alias("last"), F.lit(seen).cast("long").alias("seen"))
+        fresh = _as_intervals(taken, self.block).withColumn("seen", F.lit(seen).cast("long"))
         every = claims.unionByName(fresh)
         bounds = every.groupBy("stream").agg(F.min("first").alias("low"), F.max("last").alias("high"))
         # With one value of seen the intervals join up; it must not fall behind an earlier run's, or what that run took would be pending again.

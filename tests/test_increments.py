@@ -62,6 +62,19 @@ def test_disjoint_intervals_cover_the_same(spark, block):
     assert all(not (x[0] == y[0] and x[2] + 1 == y[1] and x[3] == y[3]) for x, y in zip(got, got[1:])), "neighbours are joined"
 
 
+def test_pending_needs_no_python(spark):
+    plan = pending(events(spark, [("a", 1, 1)]), claims(spark, [("a", 0, 9, 9)]))._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Window" in plan
+
+
+def test_ledger_repeats_nothing_after_a_run_that_sees_less(spark):
+    ledger = IntervalLedger(spark, Scratch(spark, "t").path("ledger"))
+    log = events(spark, [("a", n, n) for n in range(10)])
+    for seen in (9, 3, 9):
+        ledger.run(log, lambda df: df.select("stream", "number").distinct(), seen)
+    assert sorted(r.number for r in ledger.output().collect()) == list(range(10))
+
+
 def test_empty(spark):
     assert pending(events(spark, []), claims(spark, [])).count() == 0
     assert pending(events(spark, [("a", 1, 1)]), claims(spark, [])).count() == 1
