@@ -6,6 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlog.runtime import Scratch, block_of, fields
 
@@ -13,12 +14,10 @@ from strandlog.runtime import Scratch, block_of, fields
 BLOCK = 32_768
 #: Blocks that are joined to one in each further reduction.
 FAN = 16
-#: Prefixes that one pass over the sequences grows; more are grown in several passes.
-PREFIXES_A_PASS = 20_000
 
 _POINT = fields("seq string, block long, ord long, id string, code int")
 _SEQUENCE = fields("codes array<int>")
-_COUNT = fields("prefix int, code int, n long")
+_PATTERN = T.StructType([T.StructField("items", T.ArrayType(T.StringType())), T.StructField("support", T.LongType())])
 
 
 def _useful(n_codes: int, longest: int):
@@ -87,49 +86,6 @@ def _sequences(n_codes: int, longest: int):
     return work
 
 
-def _grow(prefixes: list[tuple[int, ...]]):
-    """Count, over the sequences of a task, each one-item extension of each prefix once per sequence.
-
-    The prefixes form a tree.  A walk down the tree carries the pointer behind the leftmost
-    match; where a prefix ends, the set of items in the suffix behind the pointer are its
-    extensions in this sequence.  Counts are summed in the task.
-    """
-
-    def work(batches):
-        import pyarrow as pa
-
-        tree: dict = {}
-        for i, p in enumerate(prefixes):
-            node = tree
-            for c in p:
-                node = node.setdefault(c, {})
-            node[-1] = i
-        counts: dict[tuple[int, int], int] = {}
-        for b in batches:
-            for codes in b.column("codes").to_pylist():
-                suffix_sets: dict[int, list[int]] = {}
-                stack = [(tree, 0)]
-                while stack:
-                    node, at = stack.pop()
-                    for c, below in node.items():
-                        if c == -1:
-                            items = suffix_sets.get(at)
-                            if items is None:
-                                items = suffix_sets[at] = list(set(codes[at:]))
-                            for x in items:
-                                counts[below, x] = counts.get((below, x), 0) + 1
-                        else:
-                            try:
-                                stack.append((below, codes.index(c, at) + 1))
-                            except ValueError:
-                                pass
-        if counts:
-            keys = list(counts)
-            yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=_COUNT.names)
-
-    return work
-
-
 def frequent_patterns(
     df: DataFrame, seq_col: str, order_col: str, item_col: str, id_col: str, min_share: float | Fraction = Fraction(1, 10), shortest: int = 3, longest: int = 5, block: int = BLOCK
 ) -> DataFrame:
@@ -144,9 +100,14 @@ def frequent_patterns(
     Frequent single items are found first; others cannot be in a frequent pattern.  A long
     sequence is cut into blocks of ``block`` order numbers; of each block only the ends of
     leftmost matches stay, a few hundred items whatever its length, and blocks are joined
-    and reduced again until a sequence is one block.  Frequent prefixes then grow by one
-    item a pass: tasks hold the sequences, the prefixes of the pass (at most
-    ``PREFIXES_A_PASS``) go to all of them, and only counts are exchanged.
+    and reduced again until a sequence is one block.
+
+    Frequent prefixes then grow by one item a pass over their projections: one row for each
+    prefix and sequence that holds it, with the suffix behind the pointer, which stands at
+    the end of the leftmost match.  The distinct items of the suffix are the prefix's
+    extensions there, each counted once for the sequence; rows whose extension is frequent
+    move their pointer behind it and go on.  Prefixes are spread over all tasks, a prefix of
+    very many sequences too; prefixes and patterns stay in tables and never come to the driver.
     """
     spark = df.sparkSession
     share = Fraction(min_share).limit_denominator(10**6)
@@ -157,7 +118,7 @@ def frequent_patterns(
     per_item = marks.select("seq", "m.whole", "m.item").where("whole or item is not null").distinct().groupBy("whole", "item").agg(F.count(F.lit(1)).alias("n"))
     scratch = Scratch(spark, "patterns")
     per_item = scratch.write(per_item, "items")
-    empty = spark.createDataFrame([], "items array<string>, support long")
+    empty = spark.createDataFrame([], _PATTERN)
     n_sequences = per_item.where("whole").agg(F.sum("n")).first()[0] or 0
     if not n_sequences:
         return empty
@@ -185,18 +146,28 @@ def frequent_patterns(
     ordered = points.select("seq", "ord", "id", "code").repartition("seq").sortWithinPartitions("seq", "ord", "id")
     sequences = scratch.write(ordered.mapInArrow(_sequences(len(items), longest), _SEQUENCE), "sequences")
 
-    found: list[tuple[tuple[int, ...], int]] = [((i,), single[t]) for i, t in enumerate(items)]
-    level = [p for p, _ in found]
-    for _ in range(1, longest):
-        grown: list[tuple[tuple[int, ...], int]] = []
-        for a in range(0, len(level), PREFIXES_A_PASS):
-            part = level[a : a + PREFIXES_A_PASS]
-            counts = sequences.mapInArrow(_grow(part), _COUNT).groupBy("prefix", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
-            grown += [((*part[r.prefix], r.code), r.n) for r in counts.collect()]
-        found += grown
-        level = sorted(p for p, _ in grown)
-        if not level:
+    names = F.array(*[F.lit(t) for t in items])
+    # One row per prefix: its number, its item codes, its support.
+    prefixes = spark.createDataFrame([(i, [i], single[t]) for i, t in enumerate(items)], "id long, codes array<int>, n long")
+    behind = lambda item: F.slice("suffix", F.array_position("suffix", item) + 1, F.size("suffix"))
+    projected = sequences.select(F.explode(F.array_distinct("codes")).alias("item"), F.col("codes").alias("suffix"))
+    projected = projected.select(F.col("item").cast("long").alias("prefix"), behind(F.col("item")).alias("suffix"))
+    levels = [prefixes]
+    for k in range(2, longest + 1):
+        steps = projected.select("prefix", F.explode(F.array_distinct("suffix")).alias("item"), *(["suffix"] if k < longest else []))
+        counts = steps.groupBy("prefix", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+        before = levels[-1].select(F.col("id").alias("b_id"), "codes")
+        grown = counts.join(before, F.col("prefix") == F.col("b_id")).select(F.monotonically_increasing_id().alias("id"), F.concat("codes", F.array("item")).alias("codes"), "n", "prefix", "item")
+        grown = scratch.write(grown, f"prefixes{k}")
+        if grown.isEmpty():
             break
-    scratch.release()
-    kept = [([items[c] for c in p], n) for p, n in sorted(found) if shortest <= len(p)]
-    return spark.createDataFrame(kept, "items array<string>, support long") if kept else empty
+        levels.append(grown)
+        if k < longest:
+            to = grown.select(F.col("id").alias("t_id"), F.col("prefix").alias("t_prefix"), F.col("item").alias("t_item"))
+            moved = steps.join(to, (F.col("prefix") == F.col("t_prefix")) & (F.col("item") == F.col("t_item")))
+            projected = scratch.write(moved.select(F.col("t_id").alias("prefix"), behind(F.col("item")).alias("suffix")).where(F.size("suffix") > 0), f"projected{k}", "rebalance")
+    out = empty
+    for k, level in enumerate(levels, 1):
+        if k >= shortest:
+            out = out.union(level.select(F.transform("codes", lambda c: F.element_at(names, c + 1)).alias("items"), F.col("n").alias("support")))
+    return out

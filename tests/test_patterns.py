@@ -58,12 +58,6 @@ def test_long_sequence_in_many_blocks(spark, monkeypatch):
     assert got == brute(short, Fraction(1, 5), 1, 3)
 
 
-def test_prefixes_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(p, "PREFIXES_A_PASS", 2)
-    rows = random_rows(5)
-    assert run(spark, rows) == brute(rows, Fraction(1, 4), 2, 4)
-
-
 def test_reduction_keeps_all_short_patterns():
     rng = random.Random(3)
     for _ in range(60):
