@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandlog.runtime import Scratch, heavy_keys, key_hash, salt_for
+from strandlog.runtime import Scratch, heavy_keys_of_each, key_hash, salt_for
 
 MAX_TYPES = 3000
 TOTAL_TYPE = "decimal(28,6)"
@@ -55,13 +56,15 @@ def entity_features(
 
     Rows are bucketed by entity, an entity with ``heavy_share`` of all rows being split by its
     event ids into ``salts`` buckets, and sorted inside a bucket by entity, type and event.
-    All further steps run over these sorted runs where they lie: repeats fall together,
-    a run of a type becomes its counters, the runs of an entity become its wide row.  Only
-    the partial rows of split entities (at most ``salts`` each) are merged by another exchange.
+    This is the only exchange of events.  All further steps run over the sorted runs where
+    they lie: repeats fall together, a run of a type becomes its counters, the runs of an
+    entity become its wide row, in time linear in types and cells.  Only the partial rows of
+    split entities (at most ``salts`` each) are merged by another, small exchange, and only
+    events that make up ``heavy_share`` of all rows are reduced before the first.
     """
     if layout not in ("wide", "map"):
         raise ValueError("layout is 'wide' or 'map'")
-    _, heavy = heavy_keys(df, [entity_col], heavy_share)
+    _, (heavy, copied) = heavy_keys_of_each(df, [[entity_col], [event_col]], heavy_share)
     rows = df.where(F.col(event_col).isNotNull()).select(
         F.col(entity_col).alias("__e"),
         F.col(type_col).alias("__t"),
@@ -69,9 +72,12 @@ def entity_features(
         F.struct(F.col(time_col).alias("time"), F.col(order_col).alias("ord"), amount.cast(TOTAL_TYPE).alias("amount")).alias("__row"),
     )
     rows = rows.withColumn("__salt", salt_for(heavy, key_hash("__e"), F.xxhash64("__id"), salts))
-    # Copies of an event are first reduced where they are read; a third of all rows may be one event.
-    rows = rows.groupBy("__e", "__salt", "__t", "__id").agg(F.min("__row").alias("__row"))
+    if copied:
+        # An event with very many copies would fill one bucket: such copies are reduced where they are read.
+        many = key_hash("__id").isin(copied)
+        rows = rows.where(~many).unionByName(rows.where(many).groupBy("__e", "__salt", "__t", "__id").agg(F.min("__row").alias("__row")).select(*rows.columns))
     bucketed = rows.repartition("__e", "__salt").sortWithinPartitions("__e", "__salt", "__t", "__id")
+    bucketed = bucketed.groupBy("__e", "__salt", "__t", "__id").agg(F.min("__row").alias("__row"))
     runs = bucketed.groupBy("__e", "__salt", "__t").agg(F.count(F.lit(1)).alias("n"), F.max("__row.time").alias("last_time"), F.sum("__row.amount").alias("total"))
 
     def packed(frame: DataFrame, *keys: str) -> DataFrame:
@@ -95,13 +101,30 @@ def entity_features(
         F.aggregate(cells, F.lit(0).cast("long"), lambda s, c: s + F.when(c["__t"].isNull(), c["n"]).otherwise(F.lit(0))).alias("n_untyped"),
     ]
     typed = F.filter(cells, lambda c: c["__t"].isNotNull())
-    features = F.map_from_entries(F.array_sort(F.transform(typed, lambda c: F.struct(c["__t"].alias("type"), F.struct(c["n"].alias("n"), c["last_time"].alias("last_time"), c["total"].alias("total")).alias("cell")))))
-    rows = rows.select(F.col("__e").alias(entity_col), *whole, features.alias("features"))
     if layout == "map":
-        return rows
+        entry = lambda c: F.struct(c["__t"].alias("type"), F.struct(c["n"].alias("n"), c["last_time"].alias("last_time"), c["total"].alias("total")).alias("cell"))
+        return rows.select(F.col("__e").alias(entity_col), *whole, F.map_from_entries(F.array_sort(F.transform(typed, entry))).alias("features"))
     types = event_types(df, type_col) if types is None else types
+    rows = rows.select(F.col("__e").alias(entity_col), *whole, _dense(typed, types, rows.schema["__cells"].dataType.elementType).alias("__dense"))
     out = [entity_col, "n_events", "last_time", "total", "n_untyped"]
-    for t, name in zip(types, column_suffixes(types)):
-        c = F.col("features")[F.lit(t)]
+    for i, name in enumerate(column_suffixes(types)):
+        c = F.col("__dense")[i]
         out += [F.coalesce(c["n"], F.lit(0).cast("long")).alias(f"n:{name}"), c["last_time"].alias(f"last:{name}"), c["total"].alias(f"total:{name}")]
     return rows.select(*out)
+
+
+def _dense(cells: Column, types: list[str], cell_type: T.DataType) -> Column:
+    """The cells as an array with one place per type, null where there is none; of each cell only the place is looked up."""
+    if not types:
+        return F.array().cast(T.ArrayType(cell_type))
+    names, none = F.array(*[F.lit(t) for t in types]), F.lit(None).cast(cell_type)
+    placed = F.transform(cells, lambda c: F.struct(F.array_position(names, c["__t"]).cast("int").alias("at"), c.alias("cell")))
+    placed = F.array_sort(F.filter(placed, lambda p: p["at"] > 0), lambda a, b: a["at"] - b["at"])
+
+    def spread(p: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: x["at"]))
+        filled = F.flatten(F.zip_with(p, F.slice(before, 1, F.size(p)), lambda c, b: F.concat(F.array_repeat(none, c["at"] - b - 1), F.array(c["cell"]))))
+        last = F.coalesce(F.try_element_at(p, F.lit(-1))["at"], F.lit(0))
+        return F.concat(filled, F.array_repeat(none, F.lit(len(types)) - last))
+
+    return F.transform(F.array(placed), spread)[0]

@@ -117,12 +117,18 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float) -> tuple[int, list[
     bounds, so no heavy key is missed.  A key just below the limit may be named too, which
     changes how work is spread and never a result.
     """
+    total, (heavy,) = heavy_keys_of_each(df, [keys], share)
+    return total, heavy
+
+
+def heavy_keys_of_each(df: DataFrame, key_sets: list[list[str]], share: float) -> tuple[int, list[list[int]]]:
+    """As :func:`heavy_keys` for several keys in the same pass."""
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
     wanted, tracked = int(1.25 / share) + 1, int(16 / share) + 1
-    top = F.call_function("approx_top_k", key_hash(*keys), F.lit(wanted), F.lit(tracked))
-    r = df.agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
-    return r.n, sorted(x["item"] for x in r.top or [] if x["count"] >= share * r.n)
+    top = [F.call_function("approx_top_k", key_hash(*keys), F.lit(wanted), F.lit(tracked)).alias(f"top{i}") for i, keys in enumerate(key_sets)]
+    r = df.agg(F.count(F.lit(1)).alias("n"), *top).first()
+    return r.n, [sorted(x["item"] for x in r[f"top{i}"] or [] if x["count"] >= share * r.n) for i in range(len(key_sets))]
 
 
 def salt_for(heavy: list[int], hashed: Column, spread: Column, salts: int) -> Column:
