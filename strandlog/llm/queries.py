@@ -12,6 +12,10 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p7_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.chunk_reuse(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -28,7 +32,7 @@ def p9_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measure(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_found": p9_found, "p9_ratios": p9_ratios}
+QUERIES = {"p7_ids": p7_ids, "p7_reuse": p7_reuse, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_found": p9_found, "p9_ratios": p9_ratios}
 
 P9_FOUND_SQL = r"""
 WITH t AS (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS s FROM documents WHERE text IS NOT NULL),

@@ -21,8 +21,9 @@ LONG_RUN = 20_000
 
 #: Bytes the rolling hash looks back on, bits of it that must be set at a cut, least bytes between cuts.
 WINDOW, CUT_BITS, LEAST_CHUNK = 32, 9, 64
-#: Occurrences of one chunk in one map task that go to the same reducer; more are spread.
-SPREAD_AFTER = 64
+#: The first occurrences of a chunk in a map task go to the one reducer all tasks share for it; of further
+#: ones SPREAD_AFTER of each of TASKS_TOGETHER neighbouring tasks go to a reducer of their own.
+FIRST_TOGETHER, SPREAD_AFTER, TASKS_TOGETHER = 4, 64, 8
 #: Bytes handled at once by array operations.
 BLOCK = 1 << 20
 
@@ -84,6 +85,13 @@ def rolling_cuts(data):
     return at[(data[at] & 0xC0) != 0x80]  # never inside a character
 
 
+def _kinds():
+    """1 for ASCII letters, 2 for digits, 3 for other visible ASCII characters, 0 for all other bytes."""
+    import numpy as np
+
+    return np.array([0 if not 32 < b < 127 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+
+
 def sure_boundaries(data):
     """Places where the tokenizer is certain to begin a new word, whatever stands around them.
 
@@ -91,10 +99,17 @@ def sure_boundaries(data):
        does not look back.
     2. An ideographic comma or full stop after a common CJK character or a Hiragana letter:
        runs of letters end at punctuation.
+    3. Between ASCII characters of different kind (letter, digit, symbol), which no word but
+       a contraction joins: not between an apostrophe and a letter.  Code, addresses and
+       encoded data without white space are cut here.
+    4. A Thai consonant after a Thai vowel sign or tone mark: marks are no letters.
+
+    A text without any of these is one run of letters, digits or symbols over its whole
+    length, or nearly so, and one word to the tokenizer too.
     """
     import numpy as np
 
-    found = []
+    found, kinds = [], _kinds()
     for a in range(0, len(data), BLOCK):
         start = max(0, a - 3)
         d = data[start : a + BLOCK + 2]
@@ -119,6 +134,15 @@ def sure_boundaries(data):
             lead, mid, end = d[stop - 3], d[stop - 2], d[stop - 1]
             letter = ((lead >= 0xE5) & (lead <= 0xE8)) | ((lead == 0xE3) & (mid == 0x81) & (end != 0x80))
             at = np.union1d(at, stop[letter])
+        kind = kinds[d]
+        change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & ~((d[:-1] == 39) & (kind[1:] == 1))) + 1
+        at = np.union1d(at, change)
+        if len(d) >= 6 and (d == 0xE0).any():
+            i = np.flatnonzero(d[3:-2] == 0xE0) + 3
+            consonant = (d[i + 1] == 0xB8) & (d[i + 2] >= 0x81) & (d[i + 2] <= 0xAE)
+            low, high = (d[i - 2] == 0xB8), (d[i - 2] == 0xB9)
+            mark = (d[i - 3] == 0xE0) & ((low & ((d[i - 1] == 0xB1) | ((d[i - 1] >= 0xB4) & (d[i - 1] <= 0xBA)))) | (high & (d[i - 1] >= 0x87) & (d[i - 1] <= 0x8E)))
+            at = np.union1d(at, i[consonant & mark])
         at = at + start
         found.append(at[(at > a if a else at > 0) & (at <= a + BLOCK)])
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
@@ -170,7 +194,10 @@ def _chunk(vocabulary, code: str):
         import numpy as np
         import pyarrow as pa
         import xxhash
+        from pyspark import TaskContext
 
+        context = TaskContext.get()
+        tasks = ((context.partitionId() if context else 0) // TASKS_TOGETHER) % (1 << 15)
         enc = encoder(vocabulary.value)
         seen: dict[bytes, int] = {}
 
@@ -199,7 +226,12 @@ def _chunk(vocabulary, code: str):
                 else:
                     n = seen.get(digest, 0)
                     seen[digest] = n + 1
-                    row = (rows[o], seq, digest, n // SPREAD_AFTER, part if n % SPREAD_AFTER == 0 else None, None)
+                    if n < FIRST_TOGETHER:
+                        salt, first = 0, n == 0
+                    else:
+                        turn, place = divmod(n - FIRST_TOGETHER, SPREAD_AFTER)
+                        salt, first = 1 + (tasks << 16) + turn % 65_535, place == 0
+                    row = (rows[o], seq, digest, salt, part if first else None, None)
                 for column, v in zip(out, row):
                     column.append(v)
             return batch_of(source, *out)
@@ -317,6 +349,29 @@ def _broadcast_vocabulary(spark: SparkSession, directory: str, name: str):
     return spark.sparkContext.broadcast(vocabulary_bytes(directory, name))
 
 
+def _cut(df: DataFrame, id_col: str, text_col: str, directory: str, name: str):
+    """The pieces of all texts, the schema of what they keep to the end, the vocabulary and the type code of ids."""
+    vocabulary = _broadcast_vocabulary(df.sparkSession, directory, name)
+    code = "H" if vocabulary.value.count(b"\n") < 1 << 16 else "I"
+    # The row's own number stands for the row; ids need be neither unique nor present.
+    numbered = df.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    piece = T.StructType([T.StructField("doc", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("seq", T.IntegerType())])
+    chunk = T.StructType([*piece, *fields("digest binary, salt int, body string, ids binary")])
+    return numbered.mapInArrow(_chunk(vocabulary, code), chunk), piece, vocabulary, code
+
+
+def chunk_reuse(df: DataFrame, id_col: str, text_col: str, directory: str = VOCABULARY_DIR, name: str = VOCABULARY) -> DataFrame:
+    """One row: ``joints``, ``chunks`` and their bytes, ``encodings`` of chunks and their bytes: what sharing saves.
+
+    Null and empty texts count as nothing; an empty table has 0 everywhere.
+    """
+    cut, *_ = _cut(df, id_col, text_col, directory, name)
+    joint = F.col("ids").isNotNull()
+    per = cut.groupBy("digest", joint.alias("joint")).agg(F.count_if(joint & (F.octet_length("ids") > 0)).alias("joints"), F.count_if(~joint).alias("n"), F.max(F.octet_length("body")).alias("size"), F.count_distinct(F.when(~joint, F.col("salt"))).alias("k"))
+    sums = {"joints": F.sum("joints"), "chunks": F.sum("n"), "chunk_bytes": F.sum(F.col("n") * F.col("size")), "encodings": F.sum("k"), "encoded_bytes": F.sum(F.col("k") * F.col("size"))}
+    return per.agg(*[F.coalesce(c, F.lit(0).cast("long")).alias(a) for a, c in sums.items()])
+
+
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, directory: str = VOCABULARY_DIR, name: str = VOCABULARY) -> DataFrame:
     """``id_col, ids array<int>`` for every row, equal to encoding each whole text by itself, without special tokens.
 
@@ -326,19 +381,15 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, directory: str = VO
     1. Each text is cut where a rolling hash of the bytes before says so, so equal stretches
        of different documents are cut alike.  Around a cut that may fall inside a word, the
        joint between two sure word boundaries is encoded right there.
-    2. Chunks go to a reducer by a 128-bit digest; a task sends the text of a chunk once per
-       SPREAD_AFTER occurrences, further copies only as a reference.  A chunk is
-       encoded once there; one in very many documents once per reducer it is spread to.
+    2. Chunks go to a reducer by a 128-bit digest, and a chunk is encoded once there.  A task
+       sends at most FIRST_TOGETHER occurrences of a chunk, and its text once, to the
+       reducer that all tasks share for it; the further ones of a chunk in very many documents
+       go to reducers of a few tasks each, which encode it once more, so none gets more
+       than some hundred of them.
     3. The ids return to their documents and are joined in order.
     """
-    vocabulary = _broadcast_vocabulary(df.sparkSession, directory, name)
-    code = "H" if vocabulary.value.count(b"\n") < 1 << 16 else "I"
+    cut, piece, vocabulary, code = _cut(df, id_col, text_col, directory, name)
     id_type = df.schema[id_col].dataType
-    # The row's own number stands for the row; ids need be neither unique nor present.
-    numbered = df.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    piece = T.StructType([T.StructField("doc", T.LongType()), T.StructField("id", id_type), T.StructField("seq", T.IntegerType())])
-    chunk = T.StructType([*piece, *fields("digest binary, salt int, body string, ids binary")])
-    cut = numbered.mapInArrow(_chunk(vocabulary, code), chunk)
     sent = cut.repartition("digest", "salt").sortWithinPartitions("digest", "salt", F.col("body").isNull())
     encoded = sent.mapInArrow(_encode_once(vocabulary, code), T.StructType([*piece, T.StructField("ids", T.BinaryType())]))
     lists = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])

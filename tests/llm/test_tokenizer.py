@@ -107,3 +107,33 @@ def test_long_runs_of_white_space(spark, enc, monkeypatch):
     got = dict(run(spark, list(enumerate(huge))))
     assert all(enc.decode(got[i]) == x for i, x in enumerate(huge))
     assert got[0][:1] == enc.encode_ordinary("word") and got[0][-3:] == enc.encode_ordinary(" end end end ")[-3:]
+
+
+def test_a_chunk_of_all_tasks_is_spread_and_a_rare_one_is_not(spark):
+    text = "All rights reserved, and every word of this notice lies in each of the pages. " * 40
+    df = spark.createDataFrame([(i, text) for i in range(400)] + [(i, f"only {i} " + "twice in all " * 90) for i in range(2)], "doc_id long, text string").repartition(20)
+    cut, *_ = t._cut(df, "doc_id", "text", t.VOCABULARY_DIR, t.VOCABULARY)
+    per = cut.where("ids IS NULL").groupBy("digest", "salt").count().groupBy("digest").agg({"salt": "count", "count": "sum"}).collect()
+    hot = [r for r in per if r["sum(count)"] >= 400]
+    assert hot and all(r["count(salt)"] > 2 for r in hot)
+    assert all(r["count(salt)"] == 1 for r in per if r["sum(count)"] <= 4)
+
+
+def test_texts_without_white_space_are_cut_and_shared(spark, enc):
+    rng = random.Random(5)
+    blob = "".join(rng.choice("abcXYZ0189+/=;(){}'._") for _ in range(20_000))
+    thai = "".join(rng.choice(["ที่", "การ", "ประเทศ", "ไทย", "และ", "เป็น", "น้ำ", "ผู้"]) for _ in range(3000))
+    rows = [(i, f"{i}{blob}{i}") for i in range(4)] + [(9 + i, f"{'x' * i}{thai}") for i in range(4)]
+    assert sorted(run(spark, rows), key=str) == want(enc, rows)
+    r = t.chunk_reuse(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id", "text").first()
+    assert r.encoded_bytes < 0.4 * r.chunk_bytes
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab'sStTrRe1 9.-\"\t\n\u0e01\u0e31\u0e49\u0e30é\u00a0。の"), max_size=40))
+def test_sure_boundaries_are_boundaries(enc, text):
+    import numpy as np
+
+    raw = text.encode()
+    for at in t.sure_boundaries(np.frombuffer(raw, np.uint8)).tolist():
+        assert enc.encode_ordinary(raw[:at].decode()) + enc.encode_ordinary(raw[at:].decode()) == enc.encode_ordinary(text), at
