@@ -47,11 +47,12 @@ def _ratios_sql() -> str:
     chars = lambda parts: f"coalesce(list_sum(list_transform({parts}, lambda x: length(x))), 0)"
     repeat = lambda parts: share(f"({chars(parts)} - {chars(f'list_distinct({parts})')})", chars(parts))
     cut = lambda at: f"list_filter(list_transform(string_split_regex(t, '{at}'), lambda x: trim(x, ' ')), lambda x: x <> '')"
-    stops = ", ".join(f"'{w}'" for w in repetition.STOP_WORDS)
+    stops = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in own)})))" for own in repetition.STOP_WORDS.values())
+    single = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
     ratios = {
         "n_words": "CAST(len(w) AS DOUBLE)",
         "symbol_share": share(r"length(regexp_replace(t, '[\p{L}\p{N} \t-\r]+', '', 'g'))", "length(t)"),
-        "stop_word_share": share(f"len(list_filter(w, lambda x: x IN ({stops})))", "len(w)"),
+        "stop_word_share": share(f"greatest({stops})", "len(w)"),
         "bullet_line_share": share("len(list_filter(l, lambda x: regexp_matches(x, '^[-*•·]')))", "len(l)"),
         "ellipsis_line_share": share(r"len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\z')))", "len(l)"),
         "repeated_line_share": repeat("l"),
@@ -63,7 +64,7 @@ def _ratios_sql() -> str:
     flags = ", ".join(f"{x.metric} {x.op} {x.value} AS {x.flag}" for x in repetition.THRESHOLDS)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-p AS (SELECT doc_id, t, list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{N}}'']+'), lambda x: x <> '') AS w, {cut(r"\n")} AS l, {cut(r"\n[ \t-\r]*\n")} AS b, {cut(r"[.!?。！？]+[ \t-\r]*|\n+")} AS s FROM d),
+p AS (SELECT doc_id, t, list_filter(string_split_regex(regexp_replace(lower(t), '({single})', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}'']+'), lambda x: x <> '') AS w, {cut(r"\n")} AS l, {cut(r"\n[ \t-\r]*\n")} AS b, {cut(r"[.!?。！？]+[ \t-\r]*|\n+")} AS s FROM d),
 q AS (SELECT *, CASE WHEN len(w) < 5 THEN [] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS g FROM p),
 a AS (SELECT doc_id, lower(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS x FROM d),
 v AS (SELECT doc_id, i, substr(x, i, 20) AS v FROM (SELECT doc_id, x, unnest(range(1, length(x) - 18)) AS i FROM a)),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.runtime import Scratch
@@ -15,14 +16,21 @@ RUN = 20
 #: Texts longer than this many characters are taken apart into rows instead of arrays; the result is the same.
 LONG_TEXT = 400_000
 
-#: Frequent function words of the languages of web text (fixed value).
-STOP_WORDS = (
-    "the of and to in a is that for it with as on be at by this from or an are not "
-    "der die das und zu den von mit ist im "
-    "de la el en y los que las un por le les et des une est "
-    "i w na z do "
-    "и в на не с что по"
-).split()
+#: Frequent function words (for Japanese, particles and other Hiragana) of the languages of web text (fixed values).
+STOP_WORDS = {
+    "en": "the of and to in a is that for it with as on be at by this from or an are not you we was have".split(),
+    "de": "der die das und zu den von mit ist im in für auf nicht ein eine es sich auch dem".split(),
+    "fr": "de la le les et des en un une est que pour dans du par sur il pas au qui".split(),
+    "es": "de la el en y los que las un por con una para es del se no al lo su".split(),
+    "pl": "i w na z do nie się to że o jest jak po od za ale co dla".split(),
+    "ru": "и в на не с что по это как к из за от для он но у о".split(),
+    "el": "και το να του η της με για την από που είναι τα στο ο οι των σε θα τον".split(),
+    "ar": "في من على إلى أن هذا التي عن مع ما لا كان هذه أو و لم".split(),
+    "ja": "の は を に が と で も へ か な た て い れ る し す".split(),
+}
+
+#: Scripts that are written without spaces: each character counts as a word (fixed value).
+SINGLE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -105,7 +113,22 @@ def _line_share(lines: Column, test: Callable[[Column], Column]) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(_text(text)), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+    """Words in lower case; of scripts without spaces every character is one."""
+    parted = F.regexp_replace(F.lower(_text(text)), f"({SINGLE})", " $1 ")
+    return F.filter(F.split(parted, r"[^\p{L}\p{N}']+"), lambda w: w != "")
+
+
+def _stop_share(words: Column) -> Column:
+    """Share of the words that are stop words of the one language that has most of them."""
+    every = sorted({w for own in STOP_WORDS.values() for w in own})
+
+    def count(stops: Column, own: list[str]) -> Column:
+        return F.size(F.filter(stops, lambda x: x.isin(own)))
+
+    def most(stops: Column) -> Column:
+        return F.greatest(*[count(stops, own) for own in STOP_WORDS.values()])
+
+    return _share(_let(F.filter(words, lambda x: x.isin(every)), most), F.size(words))
 
 
 def _word_runs(words: Column, n: int) -> Column:
@@ -130,7 +153,7 @@ METRICS: dict[str, Callable[[Parts, float], Column]] = {
     "mean_word": lambda p, _: _share(_chars(p.words), F.size(p.words)),
     "symbol_share": lambda p, _: _share(F.length(F.regexp_replace(p.text, r"[\p{L}\p{N} \t-\r]+", "")), F.length(p.text)),
     "digit_share": lambda p, _: _share(F.length(F.regexp_replace(p.text, r"[^\p{N}]+", "")), F.length(p.text)),
-    "stop_word_share": lambda p, _: _share(F.size(F.filter(p.words, lambda x: x.isin(STOP_WORDS))), F.size(p.words)),
+    "stop_word_share": lambda p, _: _stop_share(p.words),
     "bullet_line_share": lambda p, _: _line_share(p.lines, lambda s: s.rlike(r"^[-*•·]")),
     "ellipsis_line_share": lambda p, _: _line_share(p.lines, lambda s: s.rlike(r"(\.\.\.|…)\z")),
     "repeated_line_share": lambda p, _: _repeat_share(p.lines),
@@ -192,29 +215,46 @@ def compile_thresholds(rows: DataFrame, text_col: str, table, decide_only: bool
     return ratios.select(*rows.columns, *([] if decide_only else metrics), *flags)
 
 
-def _long_texts(df: DataFrame, id_col: str, text_col: str, run: int = RUN) -> DataFrame:
-    """``row, id, share`` of repeated letters for very long texts, with their windows as rows of all tasks."""
+def _long_texts(df: DataFrame, id_col: str, text_col: str, run: int = RUN, width: int = 4096) -> DataFrame:
+    """``row, id, share`` of repeated letters for very long texts, spread by windows and by blocks of letters.
+
+    Of each window only the first place matters: all other places repeat it.  First places
+    are found by (row, window) with map-side combining, so a text of one letter is no hot
+    group, and go to the block of ``width`` letters they may lie in.  A block knows its places and
+    those just before, so it counts its covered letters alone.
+    """
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), letters_of(F.col(text_col)).alias("letters"))
-    n = F.length("letters")
-    last = F.floor((n - run) / 4096).cast("int")
-    blocks = rows.select("row", "id", n.alias("n"), F.explode(F.when(n < run, F.array(F.struct(F.lit(0).alias("b"), F.lit("").alias("s")))).otherwise(F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("b"), F.substring("letters", b * 4096 + 1, F.lit(4096 + run - 1)).alias("s"))))).alias("x"))
-    windows = blocks.select("row", "id", "n", F.col("x.b").alias("b"), F.posexplode_outer(_windows(F.col("x.s"), run)).alias("j", "w"))
-    at = windows.withColumn("i", F.col("b") * 4096 + F.col("j"))
-    same = Window.partitionBy("row", "w").orderBy("i")
-    repeats = at.withColumn("again", F.col("w").isNotNull() & (F.row_number().over(same) > 1))
-    whole = repeats.groupBy("row", "id", "n").agg(F.count_if("again").alias("m"))
-    order = Window.partitionBy("row").orderBy("i")
-    gaps = repeats.where("again").withColumn("next", F.lead("i").over(order))
-    covered = gaps.groupBy("row").agg(F.sum(F.least(F.coalesce(F.col("next") - F.col("i"), F.lit(run)), F.lit(run))).alias("covered"))
-    back = whole.join(covered.withColumnRenamed("row", "c_row"), F.col("row") == F.col("c_row"), "left")
-    return back.select("row", "id", _share(F.coalesce("covered", F.lit(0)), F.col("n")).alias("share"))
+    rows = rows.select("row", "id", "letters", F.length("letters").cast("long").alias("n"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"(n - 1) div {width}"), F.lit(0).cast("long")))
+    blocks = rows.select("row", "id", "n", F.explode(numbers).alias("b"), "letters").select("row", "id", "n", "b", F.expr(f"substring(letters, int(b * {width} + 1), {width + run - 1})").alias("s"))
+    blocks = Scratch(df.sparkSession, "texts").write(blocks, "blocks")
+    windows = blocks.select("row", F.col("b").alias("in_b"), F.posexplode(_windows(F.col("s"), run)).alias("j", "w")).where(F.col("j") < width)
+    firsts = windows.groupBy("row", "w").agg(F.min(F.col("in_b") * width + F.col("j")).alias("i"))
+    home = F.expr(f"i div {width}")
+    also = F.when(F.col("i") % width > width - run, F.array(home, home + 1)).otherwise(F.array(home))
+    placed = firsts.select("row", "i", F.explode(also).alias("b")).groupBy(F.col("row").alias("p_row"), F.col("b").alias("p_b")).agg(F.collect_list("i").alias("firsts"))
+    met = blocks.select("row", "id", "n", "b").join(placed, (F.col("row") == F.col("p_row")) & (F.col("b") == F.col("p_b")), "left")
+    start = F.col("b") * width
+    end, last = F.least(start + width, F.col("n")), F.least(start + width, F.col("n") - (run - 1)) - 1
+    low = F.greatest(start - (run - 1), F.lit(0))
+    places = F.when(last < low, F.array().cast("array<bigint>")).otherwise(F.sequence(low, last))
+    repeats = F.array_sort(F.array_except(places, F.coalesce("firsts", F.array().cast("array<bigint>"))))
+
+    def covered(r: Column) -> Column:
+        following = F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.array(F.lit(2**62).cast("long")))
+        held = F.zip_with(r, F.slice(following, 1, F.size(r)), lambda a, b: F.greatest(F.least(a + run, b, end) - F.greatest(a, start), F.lit(0).cast("long")))
+        return F.aggregate(held, F.lit(0).cast("long"), lambda t, x: t + x)
+
+    whole = met.select("row", "id", "n", _let(repeats, covered).alias("covered")).groupBy("row", "id", "n").agg(F.sum("covered").alias("covered"))
+    return whole.select("row", "id", _share(F.col("covered"), F.col("n")).alias("share"))
 
 
 def measure(df: DataFrame, id_col: str, text_col: str, table=THRESHOLDS, long_text: int = LONG_TEXT) -> DataFrame:
     """``id_col`` with every ratio and flag of the table, one row per row, all in one projection.
 
-    Only of texts of more than ``long_text`` characters, which are written to the shared
-    folder, the repeated letters are found on windows spread as rows, with the same result.
+    Texts are read once.  Only of texts of more than ``long_text`` characters, which are
+    put aside in the shared folder, the repeated letters are found on windows spread as rows,
+    with the same result.
 
     Null and empty texts have ratios of 0 (and the flags that follow).  Rows with repeated or null
     ids are kept.  Other columns of the input play no part.
@@ -222,26 +262,43 @@ def measure(df: DataFrame, id_col: str, text_col: str, table=THRESHOLDS, long_te
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__raw"))
     if all(t.metric != "repeated_letter_share" for t in table):
         return compile_thresholds(rows, "__raw", table).drop("__raw").withColumnRenamed("__id", id_col)
-    is_long = F.coalesce(F.length("__raw"), F.lit(0)) > long_text
-    short = compile_thresholds(rows.where(~is_long), "__raw", table).drop("__raw")
-    long = Scratch(df.sparkSession, "texts").write(rows.where(is_long).withColumn("__row", F.monotonically_increasing_id()), "long")
+    done, long = _set_aside(rows, table, long_text, False)
+    done = done.drop("__far")
     if long.isEmpty():
-        return short.withColumnRenamed("__id", id_col)
-    shares = _long_texts(long, "__row", "__raw").select(F.col("id").alias("__of"), F.col("share").alias("__share"))
-    known = long.join(shares, F.col("__row") == F.col("__of")).select("__id", "__raw", "__share")
-    far = compile_thresholds(known, "__raw", table, given={"repeated_letter_share": "__share"}).drop("__raw", "__share")
-    return short.union(far).withColumnRenamed("__id", id_col)
+        return done.withColumnRenamed("__id", id_col)
+    shares = _long_texts(long, "__row", "__far").select(F.col("id").alias("__of"), F.col("share").alias("__share"))
+    known = long.join(shares, F.col("__row") == F.col("__of")).select("__id", "__far", "__share")
+    far = compile_thresholds(known, "__far", table, given={"repeated_letter_share": "__share"}).drop("__far", "__share")
+    return done.unionByName(far).withColumnRenamed("__id", id_col)
+
+
+def _set_aside(rows: DataFrame, table, long_text: int, decide_only: bool) -> tuple[DataFrame, DataFrame]:
+    """The compiled table over ``__id, __raw`` without long texts, and the long texts (``__id, __far, __row``), in one pass.
+
+    With ``decide_only`` only rows with a flag are kept.
+    """
+    is_long = F.coalesce(F.length("__raw"), F.lit(0)) > long_text
+    apart = rows.select("__id", F.when(~is_long, F.col("__raw")).alias("__raw"), F.when(is_long, F.col("__raw")).alias("__far"))
+    out = compile_thresholds(apart, "__raw", table, decide_only).drop("__raw")
+    if decide_only:
+        flags = [F.col(t.flag) for t in table]
+        out = out.where(F.col("__far").isNotNull() | reduce(lambda a, b: a | b, flags))
+    out = Scratch(rows.sparkSession, "texts").write(out.withColumn("__row", F.monotonically_increasing_id()), "measured")
+    return out.where("__far IS NULL").drop("__row"), out.where("__far IS NOT NULL").select("__id", "__far", "__row")
 
 
 def repeated_documents(df: DataFrame, id_col: str, text_col: str, at_least: float = 0.4, long_text: int = LONG_TEXT) -> DataFrame:
     """``id_col`` of the documents of whose letters at least the share ``at_least`` is repeated.
 
-    Decided by the compiled threshold table in one projection; only texts of more than
-    ``long_text`` characters, whose windows would make too large an array for one row, are
-    decided on windows spread as rows, with the same result.
+    Decided by the compiled threshold table in one projection that reads each text once; only
+    texts of more than ``long_text`` characters, whose windows would make too large an array
+    for one row, are put aside and decided on windows spread as rows, with the same result.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__raw"))
     table = (Threshold("repeated_letters", "repeated_letter_share", ">=", at_least),)
-    short = compile_thresholds(rows.where(F.length("text") <= long_text), "text", table, decide_only=True).where("repeated_letters").select("id")
-    long = _long_texts(rows.where(F.length("text") > long_text), "id", "text").where(F.col("share") >= at_least).select("id")
-    return short.union(long).withColumnRenamed("id", id_col)
+    done, long = _set_aside(rows, table, long_text, True)
+    short = done.select(F.col("__id").alias("id"))
+    if long.isEmpty():
+        return short.withColumnRenamed("id", id_col)
+    far = _long_texts(long, "__id", "__far").where(F.col("share") >= at_least).select("id")
+    return short.union(far).withColumnRenamed("id", id_col)

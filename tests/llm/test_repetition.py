@@ -76,7 +76,7 @@ def test_ratios(spark):
 
 
 def test_one_projection_without_user_functions(spark):
-    plan = r.measure(frame(spark, ["a"]), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    plan = r.compile_thresholds(frame(spark, ["a"]), "text", r.THRESHOLDS)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
 
 
@@ -94,3 +94,17 @@ def test_ratios_of_long_texts_are_the_same_on_windows_as_rows(spark, monkeypatch
     monkeypatch.setattr(r, "_long_texts", lambda df, *a: sizes.append(df.count()) or spread(df, *a))
     got = sorted(map(str, r.measure(rows, "doc_id", "text", long_text=30).collect()))
     assert got == want and sizes == [sum(len(t or "") > 30 for t in texts())]
+
+
+@pytest.mark.parametrize("width", [32, 64])
+def test_long_texts_by_blocks_of_letters(spark, width):
+    rows = [*texts(), "a" * 700, "abc" * 333, "a" * 64 + "b" * 64 + "a" * 64]
+    got = {x.id: x.share for x in r._long_texts(frame(spark, rows).select("doc_id", "text"), "doc_id", "text", width=width).collect()}
+    assert got == {i: pytest.approx(brute(t)) for i, t in enumerate(rows)}
+
+
+def test_stop_words_of_each_language_and_scripts_without_spaces(spark):
+    rows = ["これは日本の公園で、子どもたちが遊んでいるのを見ることができます。", "ذهب الولد إلى المدرسة في الصباح مع صديقه من أجل الدرس", "Το παιδί και η μητέρα του είναι στο σπίτι με την γάτα", "xq zzkw vvbr qqj wwpl"]
+    got = [x for x in r.measure(frame(spark, rows), "doc_id", "text").orderBy("doc_id").collect()]
+    assert got[0].n_words > 20 and not got[0].too_short
+    assert [x.few_stop_words for x in got] == [False, False, False, True]
