@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.runtime import Scratch, join_to_unique, key_hash
+from strandlog.runtime import Scratch, heavy_keys, join_to_unique
 
-#: Below this many pointers a hot target cannot hold up a task, so none is looked for.
-SPREAD_FROM_ROWS = 500_000
 HEAVY_SHARE = 0.005
 SALTS = 32
 
 
-def _hot(df: DataFrame, key: str, rows: int) -> list[int]:
-    """Hashes of the values of ``key`` that hold a large share of ``rows`` pointers (at most 1 / share)."""
-    if rows < SPREAD_FROM_ROWS:
-        return []
-    return [r.h for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAVY_SHARE * rows).select(key_hash(key).alias("h")).collect()]
+def _hot(df: DataFrame, key: str) -> tuple[int, list[int]]:
+    """Number of pointers, and hashes of the values of ``key`` that hold a large share of them, in one pass."""
+    return heavy_keys(df, [key], HEAVY_SHARE)
 
 
 def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = False, only_children: bool = False, with_walks: bool = False) -> DataFrame:
@@ -36,7 +32,8 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
     table of pointers, and pointers that reached a root are closed.  The open set shrinks
     with the depth that is left.  When a round closes nothing, every open node leads
     into a circle, because the ancestors of a node at depth d cover all smaller depths.
-    Rounds are written to the shared folder.
+    Rounds are written to the shared folder.  They move numbers only; what the numbers of a
+    path stand for is looked up once, when all paths are whole.
     """
     if with_walks and not with_paths:
         raise ValueError("walks need with_paths")
@@ -57,15 +54,15 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
     nodes = scratch.write(nodes.select("key", "parent", "is_ref", F.monotonically_increasing_id().alias("num")), "nodes")
 
     inner = nodes.where(F.col("is_ref"))
-    n_nodes, n_inner = nodes.count(), inner.count()
+    _, hot = _hot(inner, "parent")
     ids = inner.select(F.col("key").alias("p_key"), F.col("num").alias("p_num"))
-    base = join_to_unique(inner, ids, "parent", "p_key", "left", _hot(inner, "parent", n_inner), SALTS, ["num"])
+    base = join_to_unique(inner, ids, "parent", "p_key", "left", hot, SALTS, ["num"])
     closed = F.col("p_num").isNull()
     cols = [F.col("num"), F.coalesce("p_num", "num").alias("ptr"), F.when(closed, 0).otherwise(1).cast("long").alias("dist"), closed.alias("closed")]
     if with_paths:
-        cols.append(F.when(closed, F.array().cast("array<string>")).otherwise(F.array("key")).alias("seg"))  # ids from the node up to, without, ptr
+        cols.append(F.when(closed, F.array().cast("array<bigint>")).otherwise(F.array("num")).alias("seg"))  # numbers from the node up to, without, ptr
     rounds = [scratch.write(base.select(*cols), "round0", merge)]
-    open_rows = rounds[0].where(~F.col("closed")).count()
+    open_rows, hot = _hot(rounds[0].where(~F.col("closed")), "ptr")
     names = rounds[0].columns
     first_open = None
     while open_rows:
@@ -75,12 +72,12 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
             table = table.union(r.where(F.col("closed")))
         target = table.select(*[F.col(c).alias(f"t_{c}") for c in names])
         active = last.where(~F.col("closed"))
-        step = join_to_unique(active, target, "ptr", "t_num", "inner", _hot(active, "ptr", open_rows), SALTS, ["num"])
+        step = join_to_unique(active, target, "ptr", "t_num", "inner", hot, SALTS, ["num"])
         out = [F.col("num"), F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_closed").alias("closed")]
         if with_paths:
             out.append(F.concat("seg", "t_seg").alias("seg"))
         rounds.append(scratch.write(step.select(*out), f"round{len(rounds)}", merge))
-        left = rounds[-1].where(~F.col("closed")).count()
+        left, hot = _hot(rounds[-1].where(~F.col("closed")), "ptr")
         if left == open_rows:
             first_open = rounds[-1].where(~F.col("closed")).select("num")
             rounds.pop()
@@ -93,19 +90,21 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
         found = part if found is None else found.union(part)
     names_of = inner.select(F.col("num").alias("k_num"), F.col("key").alias("k_key"))
     # Heavy roots: a tree may hold a third of all nodes.
-    found = join_to_unique(found, names_of, "ptr", "k_num", "inner", _hot(found, "ptr", n_inner), SALTS, ["num"])
+    found = join_to_unique(found, names_of, "ptr", "k_num", "inner", _hot(found, "ptr")[1], SALTS, ["num"])
     solved = found.select("num", F.col("k_key").alias("root"), "dist", *(["seg"] if with_paths else []))
     if first_open is not None:
         circular = _circles(scratch, first_open, rounds[0].select("num", "ptr"), inner, open_rows)
-        seg = F.lit(None).cast("array<string>")
+        seg = F.lit(None).cast("array<bigint>")
         if with_walks:
-            circular, seg = circular.join(_walks(scratch, rounds[-1].where(~F.col("closed")), open_rows, merge), "num"), F.col("walk")
+            circular, seg = circular.join(_walks(scratch, rounds[-1].where(~F.col("closed")), merge), "num"), F.col("walk")
         solved = solved.union(circular.select("num", "root", F.lit(-1).cast("long"), *([seg] if with_paths else [])))
+    if with_paths:
+        solved = _named(scratch, solved, names_of, merge)
     solved = solved.join(inner.select(F.col("num").alias("i_num"), F.col("key").alias("up")), F.col("num") == F.col("i_num"))
     solved = scratch.write(solved.select("up", F.col("root").alias("up_root"), F.col("dist").alias("up_dist"), *([F.col("seg").alias("up_seg")] if with_paths else [])), "solved", merge)
 
     with_parent = nodes.where(F.col("parent").isNotNull())
-    rows = join_to_unique(with_parent, solved, "parent", "up", "left", _hot(with_parent, "parent", n_nodes), SALTS, ["num"])
+    rows = join_to_unique(with_parent, solved, "parent", "up", "left", _hot(with_parent, "parent")[1], SALTS, ["num"])
     top = F.col("up").isNull()
     circle = F.col("up_dist") < 0
     out = [
@@ -128,6 +127,20 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, with_paths: bool = Fa
     return result
 
 
+def _named(scratch: Scratch, solved: DataFrame, names: DataFrame, merge: str) -> DataFrame:
+    """``solved`` with the numbers of ``seg`` replaced by ids, each number joined with its id once per path.
+
+    An ancestor near a root may lie in a third of all paths; its rows are spread.
+    """
+    solved = scratch.write(solved, "numbered", merge)
+    parts = solved.select("num", F.posexplode("seg").alias("at", "of"))
+    ids = names.select(F.col("k_num").alias("n_num"), F.col("k_key").alias("n_key"))
+    parts = join_to_unique(parts, ids, "of", "n_num", "inner", _hot(parts, "of")[1], SALTS, ["num"])
+    paths = parts.groupBy(F.col("num").alias("p_num")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n_key"))), lambda x: x["n_key"]).alias("ids"))
+    empty = F.when(F.col("seg").isNotNull(), F.array().cast("array<string>"))
+    return solved.join(paths, F.col("num") == F.col("p_num"), "left").select("num", "root", "dist", F.coalesce("ids", empty).alias("seg"))
+
+
 def _circles(scratch: Scratch, open_nodes: DataFrame, first: DataFrame, inner: DataFrame, n: int) -> DataFrame:
     """``num, root`` of the nodes that lead into circles; root is the circle's smallest id.
 
@@ -140,7 +153,7 @@ def _circles(scratch: Scratch, open_nodes: DataFrame, first: DataFrame, inner: D
     steps, k = 1, 0
     while steps < n:
         far = walk.select(F.col("num").alias("f_num"), F.col("ptr").alias("f_ptr"), F.col("low").alias("f_low"))
-        hot = _hot(walk, "ptr", n)
+        _, hot = _hot(walk, "ptr")
         walk2 = join_to_unique(walk, far, "ptr", "f_num", "inner", hot, SALTS, ["num"]).select("num", F.col("f_ptr").alias("ptr"), F.least("low", "f_low").alias("low"))
         k += 1
         walk = scratch.write(walk2, f"walk{k}", "rebalance")
@@ -148,11 +161,11 @@ def _circles(scratch: Scratch, open_nodes: DataFrame, first: DataFrame, inner: D
             scratch.drop(f"walk{k - 1}")
         steps *= 2
     end = walk.select(F.col("num").alias("f_num"), F.col("low").alias("root"))
-    return join_to_unique(walk.select("num", "ptr"), end, "ptr", "f_num", "inner", _hot(walk, "ptr", n), SALTS, ["num"]).select("num", "root")
+    return join_to_unique(walk.select("num", "ptr"), end, "ptr", "f_num", "inner", _hot(walk, "ptr")[1], SALTS, ["num"]).select("num", "root")
 
 
-def _walks(scratch: Scratch, open_nodes: DataFrame, n: int, merge: str) -> DataFrame:
-    """``num, walk`` of the nodes that lead into circles: the ids from the node up to the end of the circle, each once.
+def _walks(scratch: Scratch, open_nodes: DataFrame, merge: str) -> DataFrame:
+    """``num, walk`` of the nodes that lead into circles: the numbers from the node up to the end of the circle, each once.
 
     ``open_nodes`` are the last pointers with their segments.  A walk that met an id again has
     seen its whole circle and is closed; open ones are doubled further, so the rounds go with
@@ -166,7 +179,7 @@ def _walks(scratch: Scratch, open_nodes: DataFrame, n: int, merge: str) -> DataF
         for r in rounds:
             table = table.union(r.where(F.col("closed")))
         target = table.select(*[F.col(c).alias(f"t_{c}") for c in table.columns])
-        step = join_to_unique(active, target, "ptr", "t_num", "inner", _hot(active, "ptr", n), SALTS, ["num"])
+        step = join_to_unique(active, target, "ptr", "t_num", "inner", _hot(active, "ptr")[1], SALTS, ["num"])
         walk = F.array_distinct(F.concat("walk", "t_walk"))
         met = F.col("t_closed") | (F.size(walk) < F.size("walk") + F.size("t_walk"))
         rounds.append(scratch.write(step.select("num", F.col("t_ptr").alias("ptr"), walk.alias("walk"), met.alias("closed")), f"ring{len(rounds)}", merge))

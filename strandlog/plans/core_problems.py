@@ -47,25 +47,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
-    h = hierarchy.hierarchy(table(spark, folder, "event_log"), "event_id", "causation_id", with_paths=True)
-    return h.select(F.col("node").alias("event_id"), F.col("root").alias("root_event_id"), "depth", F.array_join("path", ">").alias("path"))
-
-
-def p2_effects(spark: SparkSession, folder: str) -> DataFrame:
-    h = hierarchy.hierarchy(table(spark, folder, "event_log"), "event_id", "causation_id", with_paths=True, only_children=True)
-    e = hierarchy.effects(h)
-    return e.select(F.col("ancestor").alias("event_id"), F.col("node").alias("effect_id"), "distance")
-
-
-def p2_all_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """As p2_paths; below and in circles the path starts at the far end of the circle, each event once."""
+    """Root, depth and path of every event; below and in circles the path starts at the far end of the circle, each event once."""
     h = hierarchy.hierarchy(table(spark, folder, "event_log"), "event_id", "causation_id", with_paths=True, with_walks=True)
     path = F.coalesce("path", F.reverse("walk"))
     return h.select(F.col("node").alias("event_id"), F.col("root").alias("root_event_id"), "depth", F.array_join(path, ">").alias("path"))
 
 
-def p2_all_effects(spark: SparkSession, folder: str) -> DataFrame:
-    """As p2_effects, with the pairs of events in and below circles too (distinct events, fewest steps)."""
+def p2_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """All effects of every event, also of those in and below circles (pairs of different events, fewest steps)."""
     h = hierarchy.hierarchy(table(spark, folder, "event_log"), "event_id", "causation_id", with_paths=True, only_children=True, with_walks=True)
     e = hierarchy.effects(h)
     return e.select(F.col("ancestor").alias("event_id"), F.col("node").alias("effect_id"), "distance")
@@ -94,18 +83,6 @@ SELECT event_id, root_event_id, CAST(depth AS BIGINT) AS depth FROM (
   SELECT event_id, root_event_id, depth FROM tree UNION ALL SELECT event_id, root_event_id, -1 FROM bad)
 WHERE event_id IN (SELECT event_id FROM ev WHERE cause IS NOT NULL)"""
 
-P2_PATHS_SQL = _TREE + """
-SELECT event_id, root_event_id, CAST(depth AS BIGINT) AS depth, path FROM tree
-UNION ALL SELECT event_id, root_event_id, -1, NULL FROM bad"""
-
-P2_EFFECTS_SQL = _TREE + """
-, below AS (
-  SELECT l.parent AS event_id, l.event_id AS effect_id, 1 AS distance FROM link l JOIN tree t ON t.event_id = l.event_id WHERE l.parent IS NOT NULL
-  UNION ALL
-  SELECT b.event_id, l.event_id, b.distance + 1 FROM below b JOIN link l ON l.parent = b.effect_id
-)
-SELECT event_id, effect_id, CAST(distance AS BIGINT) AS distance FROM below"""
-
 #: Every event's walk up its causes to the root or to the first event met again; no tree is asked for.
 _WALK = """
 , walk AS (
@@ -116,12 +93,12 @@ _WALK = """
 )
 """
 
-P2_ALL_PATHS_SQL = _TREE + _WALK + """
+P2_PATHS_SQL = _TREE + _WALK + """
 SELECT event_id, root_event_id, CAST(depth AS BIGINT) AS depth, path FROM tree
 UNION ALL
 SELECT b.event_id, b.root_event_id, -1, (SELECT array_to_string(list_reverse(arg_max(w.seen, w.distance)), '>') FROM walk w WHERE w.event_id = b.event_id) FROM bad b"""
 
-P2_ALL_EFFECTS_SQL = _TREE + _WALK + """
+P2_EFFECTS_SQL = _TREE + _WALK + """
 SELECT node AS event_id, event_id AS effect_id, CAST(distance AS BIGINT) AS distance FROM walk WHERE distance > 0"""
 
 
@@ -254,12 +231,10 @@ SELECT pattern, count(*) AS support FROM (SELECT * FROM k3 UNION ALL SELECT * FR
 
 QUERIES = {
     "p1_found": p1_found, "p1_stream_totals": p1_stream_totals, "p2_found": p2_found, "p2_paths": p2_paths, "p2_effects": p2_effects,
-    "p2_all_paths": p2_all_paths, "p2_all_effects": p2_all_effects,
     "p3_features": p3_features, "p3_cells": p3_cells, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_ledger": p6_ledger, "p6_intervals": p6_intervals,
 }
 
 ORACLES = {
     "p1_found": P1_FOUND_SQL, "p1_stream_totals": P1_TOTALS_SQL, "p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL, "p2_effects": P2_EFFECTS_SQL,
-    "p2_all_paths": P2_ALL_PATHS_SQL, "p2_all_effects": P2_ALL_EFFECTS_SQL,
     "p3_features": P3_FEATURES_SQL, "p3_cells": P3_CELLS_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_ledger": P6_LEDGER_SQL, "p6_intervals": P6_INTERVALS_SQL,
 }

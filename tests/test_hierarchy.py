@@ -60,7 +60,6 @@ def test_long_circle_with_a_tail_whose_ids_are_smaller(spark):
 
 
 def test_random_forest_with_hot_parent_is_spread(spark, monkeypatch):
-    monkeypatch.setattr(h, "SPREAD_FROM_ROWS", 1)
     monkeypatch.setattr(h, "HEAVY_SHARE", 0.1)
     rng = random.Random(4)
     links = [("r", None), ("hub", "r")] + [(f"k{i}", "hub") for i in range(60)] + [(f"g{i}", f"k{rng.randrange(60)}") for i in range(40)] + [(f"h{i}", f"g{rng.randrange(40)}") for i in range(40)]
