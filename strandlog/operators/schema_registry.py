@@ -56,30 +56,75 @@ class SchemaRegistry:
         Unregistered types and events at or above the version stay as they are.  A missing step
         is passed over and does not raise the version; steps after it still apply.
         Null metadata means version 1 and becomes a map only if a step applies.
+
+        The type decides first, so a row meets the steps of its own type only; data is parsed
+        once for all field steps in a row, and the plan grows in proportion to the steps.
+        Types with the same steps share a branch.
         """
-        data, version = F.col("data"), version_of(F.col("metadata"))
-        for event_type, s in sorted(self._schemas.items()):
-            own = F.col("event_type") == event_type
-            for v in range(1, s.version):
-                if v in s.upcast_from:
-                    # The start version decides which steps run, not the version reached so far.
-                    run = own & (version_of(F.col("metadata")) <= v)
-                    data = F.when(run, s.upcast_from[v](data)).otherwise(data)
-                    version = F.when(run, F.lit(v + 1)).otherwise(version)
-        changed = version != version_of(F.col("metadata"))
+        # A column of its own: inside a lambda the name of a column made in the same projection would mean the new one.
+        log, start = log.withColumn("__start", version_of(F.col("metadata"))), F.col("__start")
+        data, version = F.col("data"), start
+        for types, steps in self._grouped(lambda s: tuple((v, s.upcast_from[v]) for v in range(1, s.version) if v in s.upcast_from)):
+            last = steps[-1][0]
+            # The start version decides which steps run, not the version reached so far.
+            run = F.col("event_type").isin(types) & (start <= last)
+            data = F.when(run, _chain(list(steps), F.col("data"), start)).otherwise(data)
+            version = F.when(run, F.lit(last + 1)).otherwise(version)
+        changed = version != start
         other = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != VERSION_KEY)
         metadata = F.when(changed, F.map_concat(other, F.create_map(F.lit(VERSION_KEY), version.cast("string")))).otherwise(F.col("metadata"))
-        return log.withColumns({"data": data, "metadata": metadata})
+        return log.withColumns({"data": data, "metadata": metadata}).drop("__start")
+
+    def _grouped(self, of: Callable) -> list[tuple[list[str], tuple]]:
+        """The registered types by what ``of`` gives for their schema, without those it gives nothing for."""
+        groups: dict = {}
+        for event_type, s in sorted(self._schemas.items()):
+            if key := of(s):
+                groups.setdefault(key, []).append(event_type)
+        return [(types, key) for key, types in groups.items()]
 
     def validated(self, log: DataFrame) -> DataFrame:
         """The log with ``valid``: the validator's verdict, true without one; a null verdict is false."""
         verdict = F.lit(True)
-        for event_type, s in sorted(self._schemas.items()):
-            if s.validator is not None:
-                verdict = F.when(F.col("event_type") == event_type, F.coalesce(s.validator(F.col("data")), F.lit(False))).otherwise(verdict)
+        for types, (validator,) in self._grouped(lambda s: (s.validator,) if s.validator is not None else ()):
+            verdict = F.when(F.col("event_type").isin(types), F.coalesce(validator(F.col("data")), F.lit(False))).otherwise(verdict)
         return log.withColumn("valid", F.coalesce(verdict, F.lit(True)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated, and written into the plan, once."""
+    return F.transform(F.array(value), use)[0]
+
+
+@dataclass(frozen=True)
+class FieldStep:
+    """A step on the fields of JSON object text, given as an edit of their map; data that is no object stays as it is."""
+
+    edit: Callable[[Column], Column]
+
+    def __call__(self, data: Column) -> Column:
+        return _text(_let(_fields(data), self.edit), data)
+
+
+def _chain(steps: list[tuple[int, Callable]], data: Column, start: Column) -> Column:
+    """Data after those of the ascending steps that are at or above the start version."""
+    if not steps:
+        return data
+    if isinstance(steps[0][1], FieldStep):
+        n = next((i for i, (_, f) in enumerate(steps) if not isinstance(f, FieldStep)), len(steps))
+        done = F.when(start <= steps[n - 1][0], _text(_let(_fields(data), lambda m: _edits(steps[:n], m, start)), data)).otherwise(data)
+    else:
+        n, (v, f) = 1, steps[0]
+        done = F.when(start <= v, f(data)).otherwise(data)
+    return done if n == len(steps) else _let(done, lambda d: _chain(steps[n:], d, start))
+
+
+def _edits(steps: list[tuple[int, FieldStep]], fields: Column, start: Column) -> Column:
+    (v, f), rest = steps[0], steps[1:]
+    done = F.when(start <= v, f.edit(fields)).otherwise(fields)
+    return _let(done, lambda m: _edits(rest, m, start)) if rest else done
+
+
 def version_of(metadata: Column) -> Column:
     """The event's schema version: a positive whole number in the metadata, else 1."""
     v = metadata[VERSION_KEY].try_cast("int")
@@ -98,36 +143,29 @@ def schema_state(log: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 # Steps that schemas are often made of, on JSON text.
-def add_field(name: str, json_value: str) -> Callable[[Column], Column]:
+def add_field(name: str, json_value: str) -> FieldStep:
     """Set a field that is missing."""
-
-    def step(data: Column) -> Column:
-        m = _fields(data)
-        return _text(F.when(F.map_contains_key(m, F.lit(name)), m).otherwise(F.map_concat(m, F.create_map(F.lit(name), F.parse_json(F.lit(json_value))))), data)
-
-    return step
+    return FieldStep(lambda m: F.when(F.map_contains_key(m, F.lit(name)), m).otherwise(F.map_concat(m, F.create_map(F.lit(name), F.parse_json(F.lit(json_value))))))
 
 
-def rename_field(old: str, new: str) -> Callable[[Column], Column]:
-    def step(data: Column) -> Column:
-        m = _fields(data)
+def rename_field(old: str, new: str) -> FieldStep:
+    def edit(m: Column) -> Column:
         rest = F.map_filter(m, lambda k, _: (k != old) & (k != new))
-        return _text(F.when(F.map_contains_key(m, F.lit(old)), F.map_concat(rest, F.create_map(F.lit(new), m[old]))).otherwise(m), data)
+        return F.when(F.map_contains_key(m, F.lit(old)), F.map_concat(rest, F.create_map(F.lit(new), m[old]))).otherwise(m)
 
-    return step
+    return FieldStep(edit)
 
 
-def nest_fields(names: list[str], into: str) -> Callable[[Column], Column]:
+def nest_fields(names: list[str], into: str) -> FieldStep:
     """Move fields into an object of its own."""
 
-    def step(data: Column) -> Column:
-        m = _fields(data)
+    def edit(m: Column) -> Column:
         rest = F.map_filter(m, lambda k, _: ~k.isin([*names, into]))
         inner = F.map_filter(m, lambda k, _: k.isin(names))
         moved = F.map_concat(rest, F.create_map(F.lit(into), F.parse_json(F.to_json(inner))))
-        return _text(F.when(F.size(inner) > 0, moved).otherwise(m), data)
+        return F.when(F.size(inner) > 0, moved).otherwise(m)
 
-    return step
+    return FieldStep(edit)
 
 
 def _fields(data: Column) -> Column:

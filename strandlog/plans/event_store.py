@@ -451,29 +451,34 @@ def link_copies(spark, folder):
 
 # Schemas
 
-def _registry():
+def _registry(spark, folder):
+    """Every type of event_schemas at its version; a few types have no step from the second version."""
     r = schema_registry.SchemaRegistry()
-    add, ren = schema_registry.add_field, schema_registry.rename_field
-    steps = {1: add("currency", '"EUR"'), 2: ren("status", "state")}
-    for t, v in (("OrderPriced", 3), ("NoticeSent", 2), ("KeyRotated", 3)):
-        r.register(t, schema_registry.EventSchema(v, {k: f for k, f in steps.items() if k < v and not (t == "KeyRotated" and k == 2)}, validator=lambda d: F.get_json_object(d, "$.qty").isNotNull(), registered_at=0))
+    steps = {1: schema_registry.add_field("currency", '"EUR"'), 2: schema_registry.rename_field("status", "state")}
+    valid = lambda d: F.get_json_object(d, "$.qty").isNotNull()
+    for x in table(spark, folder, "event_schemas").groupBy("event_type").agg(F.max("version").alias("version")).collect():
+        own = {k: f for k, f in steps.items() if k < x.version and not (k == 2 and x.event_type.startswith("K"))}
+        r.register(x.event_type, schema_registry.EventSchema(x.version, own, validator=valid, registered_at=0))
     return r
 
 
-@query(EV + """, v AS (SELECT event_id, event_type, CASE WHEN TRY_CAST(metadata['schema_version'] AS INTEGER) > 0 THEN TRY_CAST(metadata['schema_version'] AS INTEGER) ELSE 1 END AS v, js AS data FROM ev),
-o AS (SELECT *, json_type(data) = 'OBJECT' AS obj FROM v)
-SELECT event_id, CAST(CASE event_type WHEN 'OrderPriced' THEN greatest(v, 3) WHEN 'NoticeSent' THEN greatest(v, 2) WHEN 'KeyRotated' THEN CASE WHEN v = 1 THEN 2 ELSE v END ELSE v END AS INTEGER) AS version,
- CASE WHEN obj THEN CASE WHEN event_type IN ('OrderPriced', 'NoticeSent', 'KeyRotated') AND v = 1 THEN coalesce(data ->> '$.currency', 'EUR') ELSE data ->> '$.currency' END END AS currency,
- CASE WHEN obj AND event_type = 'OrderPriced' AND v <= 2 THEN data ->> '$.status' WHEN obj THEN data ->> '$.state' END AS state FROM o""")
+_REGISTERED = EV + """, s AS (SELECT event_type AS t, max(version) AS reg FROM event_schemas GROUP BY 1),
+v AS (SELECT event_id, event_type, coalesce(reg, 0) AS reg, CASE WHEN TRY_CAST(metadata['schema_version'] AS INTEGER) > 0 THEN TRY_CAST(metadata['schema_version'] AS INTEGER) ELSE 1 END AS v, js AS data FROM ev LEFT JOIN s ON t = event_type)"""
+
+
+@query(_REGISTERED + """, o AS (SELECT *, json_type(data) = 'OBJECT' AS obj, reg >= 3 AND event_type NOT LIKE 'K%' AS second FROM v)
+SELECT event_id, CAST(CASE WHEN second AND v <= 2 THEN 3 WHEN reg >= 2 AND v = 1 THEN 2 ELSE v END AS INTEGER) AS version,
+ CASE WHEN obj THEN CASE WHEN reg >= 2 AND v = 1 THEN coalesce(data ->> '$.currency', 'EUR') ELSE data ->> '$.currency' END END AS currency,
+ CASE WHEN obj AND second AND v <= 2 THEN coalesce(data ->> '$.status', data ->> '$.state') WHEN obj THEN data ->> '$.state' END AS state FROM o""")
 def schema_upcast(spark, folder):
-    up = _registry().upcast(_ev(spark, folder, "event_type", "metadata", "data"))
+    up = _registry(spark, folder).upcast(_ev(spark, folder, "event_type", "metadata", "data"))
     j = lambda f: F.get_json_object("data", f"$.{f}")
     return up.select("event_id", schema_registry.version_of(F.col("metadata")).alias("version"), j("currency").alias("currency"), j("state").alias("state"))
 
 
-@query(EV + "SELECT event_id, CASE WHEN event_type IN ('OrderPriced', 'NoticeSent', 'KeyRotated') THEN (js ->> '$.qty') IS NOT NULL ELSE true END AS valid FROM ev")
+@query(_REGISTERED + "SELECT event_id, CASE WHEN reg > 0 THEN (data ->> '$.qty') IS NOT NULL ELSE true END AS valid FROM v")
 def schema_validate(spark, folder):
-    return _registry().validated(_ev(spark, folder, "event_type", "data")).select("event_id", "valid")
+    return _registry(spark, folder).validated(_ev(spark, folder, "event_type", "data")).select("event_id", "valid")
 
 
 @query(EV + """, s AS (SELECT event_type AS t, max(version) AS reg FROM event_schemas GROUP BY 1), v AS (SELECT event_type, CASE WHEN TRY_CAST(metadata['schema_version'] AS INTEGER) > 0 THEN TRY_CAST(metadata['schema_version'] AS INTEGER) ELSE 1 END AS v FROM ev)
@@ -484,7 +489,11 @@ def schema_states(spark, folder):
 
 @query("SELECT event_type, version, registered_at FROM event_schemas")
 def schema_list(spark, folder):
-    return table(spark, folder, "event_schemas").select("event_type", "version", "registered_at")
+    """The stored schemas through a registry and back."""
+    r = schema_registry.SchemaRegistry()
+    for x in table(spark, folder, "event_schemas").collect():
+        r.register(x.event_type, schema_registry.EventSchema(x.version, description=x.description, registered_at=x.registered_at))
+    return r.table(spark).select("event_type", "version", "registered_at")
 
 
 # Snapshots

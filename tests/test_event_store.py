@@ -287,3 +287,16 @@ def test_two_writers_never_share_a_version(spark, monkeypatch):
     monkeypatch.setattr(a, "_commit", lambda *x: False)
     with pytest.raises(Conflict):
         a.append("s", ANY_VERSION, ev)
+
+
+def test_plan_of_upcasts_grows_with_the_steps(spark):
+    def size(n):
+        r = schema_registry.SchemaRegistry()
+        for i in range(n):
+            steps = {1: schema_registry.add_field(f"f{i}", str(i)), 2: schema_registry.rename_field(f"f{i}", f"g{i}"), 3: lambda d: F.upper(d), 4: schema_registry.nest_fields(["A"], f"in{i}")}
+            r.register(f"T{i}", schema_registry.EventSchema(5, steps))
+        up = r.upcast(log_of(spark, [{"event_type": "T1", "data": {"a": 1}}, {"event_type": "T0", "data": {"a": 2}, "metadata": {"schema_version": "3"}}]))
+        assert [json.loads(x.data) for x in up.orderBy("version").collect()] == [{"G1": 1, "in1": {"A": 1}}, {"in0": {"A": 2}}]
+        return len(up._jdf.queryExecution().analyzed().toString())
+
+    assert size(24) < 3 * size(12)
