@@ -8,7 +8,7 @@ stream's events need to be collected in order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.runtime import block_of
@@ -68,21 +68,20 @@ def fold_ops(log: DataFrame, group: str = "stream_id", position: str = "version"
 
 
 def _reduce(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Reduce ``set, base, text, tail, total`` rows in ``order`` within ``keys`` to one row of the same kind.
+    """Reduce ``set, base, text, tail, tailed`` rows in ``order`` within ``keys`` to one row of the same kind.
 
-    ``set`` tells whether the part sets the key; ``tail`` is the sum after its last set,
-    or all of its sums; ``tailed`` whether any sum counts there.
+    ``set`` tells whether the part sets the key; ``tail`` is the sum after its last set, or
+    all of its sums; ``tailed`` whether any sum counts there.  The last set is found first, then
+    everything from it on is added up, so nothing is collected and only the keys are sorted.
     """
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "set", "base", "text", "tail", "tailed")))
-
-    def step(s: Column, p: Column) -> Column:
-        return F.when(p["set"], p).otherwise(
-            F.struct(p["o"].alias("o"), s["set"].alias("set"), s["base"].alias("base"), s["text"].alias("text"), (s["tail"] + p["tail"]).cast(NUMBER).alias("tail"), (s["tailed"] | p["tailed"]).alias("tailed"))
-        )
-
-    folded = F.aggregate(F.slice(F.col("parts"), 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0], step)
-    out = rows.groupBy(*keys).agg(parts.alias("parts")).select(*keys, folded.alias("s"))
-    return out.select(*keys, "s.set", "s.base", "s.text", "s.tail", "s.tailed")
+    at = F.when(F.col("set"), F.col(order))
+    counts = F.col("last").isNull() | (F.col(order) >= F.col("last"))
+    marked = rows.withColumn("last", F.max(at).over(Window.partitionBy(*keys)))
+    is_last = F.col("set") & (F.col(order) == F.col("last"))
+    return marked.groupBy(*keys).agg(
+        F.max("set").alias("set"), F.coalesce(F.max(F.when(is_last, F.col("base"))), F.lit(0).cast(NUMBER)).alias("base"), F.max(F.when(is_last, F.col("text"))).alias("text"),
+        F.coalesce(F.sum(F.when(counts, F.col("tail"))).cast(NUMBER), F.lit(0).cast(NUMBER)).alias("tail"), F.max(counts & F.col("tailed")).alias("tailed"),
+    )
 
 
 def tagged_fold(ops: DataFrame, direction: str = "forward", initial: DataFrame | None = None, block: int = BLOCK) -> DataFrame:

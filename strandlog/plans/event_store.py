@@ -11,7 +11,7 @@ from strandlog.functions import codec, hashing, text
 from strandlog.operators import causation, flow, fold, graph, links, operations, retention, schema_registry, security, snapshots, streams, subscriptions, temporal
 from strandlog.operators.archive import key_column, parsed_key
 from strandlog.runtime import Scratch
-from strandlog.sources.log import event_log, from_orders, from_user_events, read_log, write_log
+from strandlog.sources.log import event_log, from_orders, from_user_events, read_log, write_log, order_ops
 from strandlog.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,8 +270,8 @@ def aggregation_stats(spark, folder):
 
 @query("SELECT 'order-' || l_orderkey AS stream_id, CAST(sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18,2))) AS DOUBLE) AS amount, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1")
 def fold_orders(spark, folder):
-    log = from_orders(table(spark, folder, "orders"), table(spark, folder, "lineitem"))
-    state = fold.tagged_fold(fold.fold_ops(log)).groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.col("number"))).cast("double").alias(f) for f in ("amount", "quantity")])
+    ops = order_ops(table(spark, folder, "orders"), table(spark, folder, "lineitem"))
+    state = fold.tagged_fold(ops.where("field IN ('amount', 'quantity')")).groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.col("number"))).cast("double").alias(f) for f in ("amount", "quantity")])
     return state.where("amount is not null").select(F.col("group").alias("stream_id"), "amount", "quantity")
 
 

@@ -114,3 +114,27 @@ def from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         "stream_id", "version", F.concat("stream_id", F.lit("/"), F.col("version").cast("string")).alias("event_id"), "event_type", "data", F.create_map().cast("map<string,string>").alias("metadata"), "tags",
         F.expr("epoch_us div 1000").alias("timestamp_ms"), "epoch_us", F.when(F.col("version") > 0, F.concat("stream_id", F.lit("/"), (F.col("version") - 1).cast("string"))).alias("causation_id"), F.col("stream_id").alias("correlation_id"),
     )
+
+
+def order_ops(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """What the events of :func:`from_orders` do to the fields of a stream, from the typed columns.
+
+    The rows are those of ``fold.fold_ops`` over that log, without JSON text in between.
+    """
+    number = "decimal(38,6)"
+
+    def op(field, delta=None, text=None):
+        none = F.lit(None)
+        return F.struct(F.lit(field).alias("field"), (none if delta is None else delta).cast(number).alias("delta"), (none if text is None else text).cast("string").alias("set_to"), none.cast(number).alias("set_number"))
+
+    quoted = lambda c: F.to_json(F.col(c).cast("variant"))
+    head = orders.select(
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("group"), F.lit(0).cast("long").alias("position"), F.inline(F.when(F.col("o_orderstatus").isNotNull(), F.array(op("status", text=quoted("o_orderstatus")))))
+    )
+    amount, quantity = F.round("l_extendedprice", 2).cast("decimal(18,2)"), F.col("l_quantity").cast("decimal(18,2)")
+    fields_of_line = F.array(
+        *[F.when(x.isNotNull(), op(n, x)).otherwise(op(n, text=F.lit("{}"))) for n, x in (("amount", amount), ("quantity", quantity))],
+        F.when(F.col("l_linestatus").isNotNull(), op("status", text=quoted("l_linestatus"))).otherwise(op("status", text=F.lit("{}"))),
+    )
+    line = lineitem.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("group"), F.col("l_linenumber").cast("long").alias("position"), F.inline(fields_of_line))
+    return head.unionByName(line)

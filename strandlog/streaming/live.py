@@ -81,22 +81,28 @@ def running_fold(stream: DataFrame) -> DataFrame:
     """The tagged fold as a stateful stream: after each batch the state ``group, field, number, value`` of changed keys.
 
     Events of one (group, field) are folded in position order inside a batch, batches in their
-    order; the state of a key is one number and one text.
+    order; the state of a key is one exact number, as text, and one text.
     """
-    ops = fold.fold_ops(stream).select("group", "field", "position", F.col("delta").cast("double").alias("delta"), "set_to", F.col("set_number").cast("double").alias("set_number"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    ops = fold.fold_ops(stream).select("group", "field", "position", text("delta"), "set_to", text("set_number"))
 
     def update(key, frames, state):
+        from decimal import Decimal
+
         import pandas as pd
 
-        number, value, has = state.get if state.exists else (0.0, None, False)
-        rows = pd.concat(list(frames)).sort_values("position")
-        for delta, text, set_number in zip(rows["delta"], rows["set_to"], rows["set_number"]):
-            if pd.notna(delta):
-                number, value, has = number + delta, None, True
-            else:
-                has = bool(pd.notna(set_number))
-                number, value = (float(set_number) if has else 0.0), text
+        number, value, has = state.get if state.exists else ("0", None, False)
+        rows = pd.concat(list(frames)).sort_values("position").reset_index(drop=True)
+        sets = rows.index[rows["delta"].isna()]
+        if len(sets):
+            last = rows.loc[sets[-1]]
+            has = isinstance(last["set_number"], str)
+            number, value = (last["set_number"] if has else "0"), last["set_to"]
+            rows = rows.loc[sets[-1] + 1 :]
+        if len(rows):
+            number, value, has = str(sum(map(Decimal, rows["delta"]), Decimal(number))), None, True
         state.update((number, value, has))
         yield pd.DataFrame({"group": [key[0]], "field": [key[1]], "number": [number if has else None], "value": [value]})
 
-    return ops.groupBy("group", "field").applyInPandasWithState(update, "group string, field string, number double, value string", "number double, value string, has boolean", "update", "NoTimeout")
+    out = ops.groupBy("group", "field").applyInPandasWithState(update, "group string, field string, number string, value string", "number string, value string, has boolean", "update", "NoTimeout")
+    return out.withColumn("number", F.col("number").cast(fold.NUMBER))
