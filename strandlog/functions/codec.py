@@ -42,6 +42,11 @@ def secure_compare(a: bytes | str, b: bytes | str) -> bool:
     return hmac.compare_digest(x, y)
 
 
+def secure_equal(a: Column, b: Column) -> Column:
+    """The column form: equality of the SHA-256 digests, so where two values differ does not show in the time; null with a null."""
+    return F.sha2(a.cast("binary"), 256) == F.sha2(b.cast("binary"), 256)
+
+
 def compress(raw: bytes, codec: str = "zstd", level: int | None = None) -> bytes:
     if codec not in CODECS:
         raise ValueError(f"codec is one of {CODECS}")
@@ -74,6 +79,12 @@ def compression_stats(raw: bytes, codec: str = "zstd", level: int | None = None)
     return {"original": len(raw), "compressed": n, "ratio": len(raw) / n}
 
 
+def compression_sizes(column: Column, codec: str = "zstd", level: int | None = None) -> Column:
+    """struct(original, compressed, ratio) in bytes; null for null."""
+    n, m = F.octet_length(column).cast("long"), F.octet_length(compressed(column, codec, level)).cast("long")
+    return F.when(column.isNotNull(), F.struct(n.alias("original"), m.alias("compressed"), (n / m).alias("ratio")))
+
+
 def compressed(column: Column, codec: str = "zstd", level: int | None = None) -> Column:
     """A binary column, compressed value by value in Arrow batches."""
 

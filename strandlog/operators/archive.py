@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from abc import ABC, abstractmethod
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,12 +77,16 @@ class FolderArchive(ArchiveBackend):
 
     def archive(self, key: str, events: DataFrame) -> int:
         """Write the events; returns how many.  An archive that exists is replaced."""
-        path = self._path(key)
-        delete_path(self.spark, path)
-        events.repartitionByRange("version").sortWithinPartitions("version").write.option("compression", "zstd").parquet(f"{path}/events")
-        n = self.spark.read.parquet(f"{path}/events").count()
+        path, folder = self._path(key), f"events-{uuid.uuid4().hex}"
+        old = self.describe(key)["folder"] if self.exists(key) else None
+        events.repartitionByRange("version").sortWithinPartitions("version").write.option("compression", "zstd").parquet(f"{path}/{folder}")
+        n = self.spark.read.parquet(f"{path}/{folder}").count()
         created = self.spark.range(1).select(F.unix_millis(F.current_timestamp())).first()[0]
-        create_exclusive(self.spark, f"{path}/about.json", json.dumps({"version": 1, "created_at": created, "event_count": n}))
+        # The events are whole before the description names them; the old ones go last.
+        delete_path(self.spark, f"{path}/about.json")
+        create_exclusive(self.spark, f"{path}/about.json", json.dumps({"version": 1, "created_at": created, "event_count": n, "folder": folder}))
+        if old is not None:
+            delete_path(self.spark, f"{path}/{old}")
         return n
 
     def describe(self, key: str) -> dict:
@@ -96,7 +101,7 @@ class FolderArchive(ArchiveBackend):
     def read(self, key: str) -> DataFrame:
         about = self.describe(key)
         try:
-            events = self.spark.read.parquet(f"{self._path(key)}/events")
+            events = self.spark.read.parquet(f"{self._path(key)}/{about['folder']}")
             n = events.count()
         except Exception as e:
             raise CorruptedArchive(key) from e

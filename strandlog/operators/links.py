@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions.text import wildcard_match
 from strandlog.runtime import Scratch
+from strandlog.shared_state import SharedState
 from strandlog.sources.log import LINK_PREFIX
 
 
@@ -92,40 +93,42 @@ def copies(log: DataFrame, link: Link, first_version: int = 0) -> DataFrame:
 
 
 class LinkRegistry:
-    """Definitions of links by name, and what became of them."""
+    """Definitions of links by name, and what became of them; durable if a folder is given."""
 
-    def __init__(self):
-        self._links: dict[str, Link] = {}
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None):
+        self._state = SharedState(spark, path)
 
     def create(self, link: Link, created_at: int) -> Link:
         """Store a definition, stopped; one of the same name is replaced."""
-        self._links[link.name] = replace(link, status="stopped", created_at=created_at, processed=0)
-        return self._links[link.name]
+        new = replace(link, status="stopped", created_at=created_at, processed=0)
+        self._state.change(lambda links: links.update({link.name: new}))
+        return new
 
     def get(self, name: str) -> Link:
-        return self._links[name]
+        return self._state.read()[name]
 
     def list(self) -> list[Link]:
-        return [self._links[n] for n in sorted(self._links)]
+        return [x for _, x in sorted(self._state.read().items())]
 
     def delete(self, name: str) -> None:
         """Stop the link and forget it; the link stream stays."""
-        self.stop(name)
-        del self._links[name]
+        self._state.change(lambda links: links.pop(name))
 
-    def _set(self, name: str, **new) -> Link:
-        self._links[name] = replace(self._links[name], **new)
-        return self._links[name]
+    def _set(self, name: str, edit: Callable[[Link], dict]) -> Link:
+        def put(links: dict) -> Link:
+            links[name] = replace(links[name], **edit(links[name]))
+            return links[name]
+
+        return self._state.change(put)
 
     def start(self, name: str) -> Link:
-        return self._set(name, status="running")
+        return self._set(name, lambda _: {"status": "running"})
 
     def stop(self, name: str) -> Link:
-        return self._set(name, status="stopped")
+        return self._set(name, lambda _: {"status": "stopped"})
 
     def processed(self, name: str, n: int, last_event: str | None = None) -> Link:
-        old = self.get(name)
-        return self._set(name, processed=old.processed + n, last_event=last_event or old.last_event)
+        return self._set(name, lambda old: {"processed": old.processed + n, "last_event": last_event or old.last_event})
 
     def info(self, name: str, log: DataFrame) -> dict:
         link = self.get(name)

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.shared_state import SharedState
+
 VERSION_KEY = "schema_version"
 
 
@@ -24,18 +26,31 @@ class EventSchema:
 
 
 class SchemaRegistry:
-    def __init__(self):
-        self._schemas: dict[str, EventSchema] = {}
+    """Schemas by event type, durable if a folder is given."""
+
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None):
+        self._state = SharedState(spark, path)
+
+    @property
+    def _schemas(self) -> dict[str, EventSchema]:
+        return self._state.read()
 
     def register(self, event_type: str, schema: EventSchema) -> None:
         if not isinstance(schema.version, int) or isinstance(schema.version, bool) or schema.version < 1:
             raise ValueError(f"invalid_version: {schema.version}")
         if schema.registered_at is None:
             schema.registered_at = time.time_ns() // 1_000_000
-        self._schemas[event_type] = schema
+        self._state.change(lambda schemas: schemas.update({event_type: schema}))
+
+    def register_all(self, schemas: dict[str, EventSchema]) -> None:
+        """Several schemas in one change, all or none."""
+        checked = SchemaRegistry()
+        for t, x in schemas.items():
+            checked.register(t, x)
+        self._state.change(lambda state: state.update(schemas))
 
     def unregister(self, event_type: str) -> None:
-        self._schemas.pop(event_type, None)
+        self._state.change(lambda schemas: schemas.pop(event_type, None))
 
     def get(self, event_type: str) -> EventSchema:
         return self._schemas[event_type]

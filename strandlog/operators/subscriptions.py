@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions.text import wildcard_match
 from strandlog.operators.fold import NUMBER, data_fields
+from strandlog.shared_state import SharedState
 
 TYPES = ("stream", "event_type", "event_pattern", "event_payload")
 EVERY_STREAM = "$all"
@@ -103,46 +104,54 @@ class Subscription:
 
 
 class SubscriptionRegistry:
-    """Durable definitions by key; listeners are told of changes."""
+    """Definitions by key, durable if a folder is given; listeners of this object are told of its changes."""
 
-    def __init__(self):
-        self._subs: dict[str, Subscription] = {}
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None):
+        self._state = SharedState(spark, path)
         self._listeners: list = []
 
     def setup_tracking(self, listener) -> None:
         """``listener(what, subscription)`` is called with created, updated or deleted."""
         self._listeners.append(listener)
 
-    def _tell(self, what: str, sub: Subscription) -> None:
+    def _tell(self, what: str, sub: Subscription) -> Subscription:
         for f in self._listeners:
             f(what, sub)
+        return sub
 
-    def subscribe(self, kind: str, selector, name: str, pool_size: int = 1, start_from: int | None = None, subscriber: str | None = None) -> str:
+    def subscribe(self, kind: str, selector, name: str, pool_size: int = 1, start_from: int | None = None, subscriber: str | None = None, options: dict[str, str] | None = None) -> str:
         predicate(kind, selector)
         key = key_of(kind, selector, name)
-        if key in self._subs:
-            raise AlreadyExists(name)
-        sub = Subscription(key, kind, selector, name, time.time_ns() // 1_000_000, pool_size, start_from, subscriber)
-        self._subs[key] = sub
+        sub = Subscription(key, kind, selector, name, time.time_ns() // 1_000_000, pool_size, start_from, subscriber, options or {})
+
+        def add(subs: dict) -> None:
+            if key in subs:
+                raise AlreadyExists(name)
+            subs[key] = sub
+
+        self._state.change(add)
         self._tell("created", sub)
         return key
 
     def unsubscribe(self, key: str | None = None, kind: str | None = None, name: str | None = None) -> None:
         """By key, or the first of a type and name; LookupError if there is none."""
-        if key is None:
-            key = next((k for k, s in sorted(self._subs.items()) if s.type == kind and s.name == name), None)
-        if key not in self._subs:
-            raise LookupError("not_found")
-        self._tell("deleted", self._subs.pop(key))
+
+        def remove(subs: dict) -> Subscription:
+            k = key if key is not None else next((k for k, s in sorted(subs.items()) if s.type == kind and s.name == name), None)
+            if k not in subs:
+                raise LookupError("not_found")
+            return subs.pop(k)
+
+        self._tell("deleted", self._state.change(remove))
 
     def get(self, key: str) -> Subscription:
-        return self._subs[key]
+        return self._state.read()[key]
 
     def exists(self, key: str) -> bool:
-        return key in self._subs
+        return key in self._state.read()
 
     def list(self) -> list[Subscription]:
-        return [self._subs[k] for k in sorted(self._subs)]
+        return [s for _, s in sorted(self._state.read().items())]
 
     def find_by_name(self, name: str) -> Subscription:
         found = [s for s in self.list() if s.name == name]
@@ -150,12 +159,20 @@ class SubscriptionRegistry:
             raise LookupError("not_found")
         return found[0]
 
+    def update(self, key: str, **new) -> Subscription:
+        """Replace fields of a subscription; LookupError if there is none."""
+
+        def put(subs: dict) -> Subscription:
+            if key not in subs:
+                raise LookupError("not_found")
+            subs[key] = replace(subs[key], **new)
+            return subs[key]
+
+        return self._tell("updated", self._state.change(put))
+
     def ack(self, name: str, checkpoint: int) -> Subscription:
         """Set the checkpoint of the first subscription of that name; it may also go back."""
-        old = self.find_by_name(name)
-        self._subs[old.id] = new = replace(old, checkpoint=checkpoint)
-        self._tell("updated", new)
-        return new
+        return self.update(self.find_by_name(name).id, checkpoint=checkpoint)
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(s.id, s.type, s.selector if isinstance(s.selector, str) else json.dumps(s.selector), s.name, s.subscriber, s.created_at, s.pool_size, s.checkpoint, s.options) for s in self.list()]

@@ -419,7 +419,8 @@ def graph_dot(spark, folder):
     return graph.dot_lines(nodes.withColumn("type", F.substring("node", 1, 1)), edges)
 
 
-@query(EV + """, e AS (SELECT DISTINCT p.event_type AS src, c.event_type AS dst FROM ev c JOIN ev p ON c.causation_id = p.event_id WHERE p.event_type IS NOT NULL AND c.event_type IS NOT NULL), r AS (SELECT 1) SELECT count(*) > 0 AS has_cycle FROM e WHERE src = dst""")
+@query(EV.replace("WITH ev", "WITH RECURSIVE ev") + """, e AS (SELECT DISTINCT p.event_type AS src, c.event_type AS dst FROM ev c JOIN ev p ON c.causation_id = p.event_id WHERE p.event_type IS NOT NULL AND c.event_type IS NOT NULL),
+w AS (SELECT src AS start, dst AS node FROM e UNION SELECT w.start, e.dst FROM w JOIN e ON e.src = w.node) SELECT count(*) > 0 AS has_cycle FROM w WHERE start = node""")
 def graph_has_cycle(spark, folder):
     """Do event types cause each other in a circle?  (They do: some cause their own type.)"""
     log = _ev(spark, folder, "causation_id", "event_type").where("event_type is not null")

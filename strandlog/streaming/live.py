@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandlog.operators import fold, links, subscriptions
+from strandlog.runtime import create_exclusive, list_names, read_text
 from strandlog.sources.log import EVENT_SCHEMA
 
 
@@ -46,25 +47,91 @@ def run_link(stream: DataFrame, link: links.Link, out: str, checkpoint: str, reg
     left there, so a batch that runs again leaves no repeats.
     """
     spark = stream.sparkSession
+    heads = f"{out}/_heads"  # a name that readers of the folder pass over
 
     def write(batch: DataFrame, number: int) -> None:
-        before = 0
-        if number:
-            try:
-                kept = spark.read.option("basePath", out).parquet(out).where(F.col("batch") < number)
-                head = kept.agg(F.max("version")).first()[0]
-                before = 0 if head is None else head + 1
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                    raise
-        made = links.copies(batch, link, before)
-        made.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        if registry is not None:
-            registry.processed(link.name, spark.read.parquet(f"{out}/batch={number}").count())
+        earlier = [n for n in list_names(spark, heads) if n < f"{number:012d}"]
+        before = int(read_text(spark, f"{heads}/{earlier[-1]}")) if earlier else 0
+        links.copies(batch, link, before).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        n = spark.read.parquet(f"{out}/batch={number}").count()
+        # The batch that runs again finds its own note, which says the same.
+        if create_exclusive(spark, f"{heads}/{number:012d}", str(before + n)) and registry is not None:
+            registry.processed(link.name, n)
 
     return _start(stream, write, f"link-{link.name}", checkpoint, available_now)
 
 
+class Runner:
+    """Starts and stops the queries of stored subscriptions and links over one log folder.
+
+    The definitions and every query's checkpoint lie under ``path``, so a new driver goes on
+    where the last one stopped.  A query that was running when its driver ended is started
+    again by ``resume``.
+    """
+
+    def __init__(self, spark: SparkSession, log: str, path: str):
+        self.spark, self.log, self.path = spark, log, path.rstrip("/")
+        self.links = links.LinkRegistry(spark, f"{self.path}/links")
+        self.subscriptions = subscriptions.SubscriptionRegistry(spark, f"{self.path}/subscriptions")
+        self.queries: dict[str, StreamingQuery] = {}
+
+    def _end(self, key: str) -> None:
+        query = self.queries.pop(key, None)
+        if query is not None:
+            query.stop()
+
+    def start_link(self, name: str, available_now: bool = False) -> StreamingQuery:
+        """Run a stored link; without ``backfill`` only what comes after its creation."""
+        self._end(f"link {name}")
+        link = self.links.start(name)
+        stream = log_stream(self.spark, self.log)
+        if not link.backfill:
+            stream = stream.where(F.unix_millis("_metadata.file_modification_time") >= link.created_at)
+        self.queries[f"link {name}"] = query = run_link(stream.select(*EVENT_SCHEMA.names), link, self.link_path(name), f"{self.path}/checkpoints/link-{name}", self.links, available_now)
+        return query
+
+    def link_path(self, name: str) -> str:
+        return f"{self.path}/link-streams/{name}"
+
+    def stop_link(self, name: str) -> None:
+        self._end(f"link {name}")
+        self.links.stop(name)
+
+    def delete_link(self, name: str) -> None:
+        self.stop_link(name)
+        self.links.delete(name)
+
+    def subscribe(self, kind: str, selector, name: str, handler: Callable[[DataFrame, int], None], start_from: int | None = None, available_now: bool = False) -> str:
+        """Store a subscription and start its delivery; returns its key."""
+        key = self.subscriptions.subscribe(kind, selector, name, start_from=start_from)
+        self.start_subscription(key, handler, available_now)
+        return key
+
+    def start_subscription(self, key: str, handler: Callable[[DataFrame, int], None], available_now: bool = False) -> StreamingQuery:
+        """Start, or after a change of the definition restart, the delivery of a stored subscription."""
+        self._end(f"subscription {key}")
+        sub = self.subscriptions.get(key)
+        self.queries[f"subscription {key}"] = query = deliver(log_stream(self.spark, self.log), sub.type, sub.selector, handler, f"subscription-{key}", f"{self.path}/checkpoints/subscription-{key}", sub.checkpoint, available_now)
+        return query
+
+    def unsubscribe(self, key: str) -> None:
+        self._end(f"subscription {key}")
+        self.subscriptions.unsubscribe(key)
+
+    def resume(self, handlers: dict[str, Callable[[DataFrame, int], None]] | None = None) -> None:
+        """Start every link stored as running, and the subscriptions a handler is given for by key."""
+        for x in self.links.list():
+            if x.status == "running" and f"link {x.name}" not in self.queries:
+                self.start_link(x.name)
+        for key, handler in (handlers or {}).items():
+            self.start_subscription(key, handler)
+
+    def close(self) -> None:
+        """Stop all queries; the stored states stay, for ``resume``."""
+        for key in list(self.queries):
+            self._end(key)
+
+
 def running_totals(stream: DataFrame, field: str) -> DataFrame:
     """Running count, last version and total of a numeric field per stream, kept in the query's state."""
     value = fold.field_number(fold.data_fields(F.col("data"))[field])

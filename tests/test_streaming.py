@@ -90,3 +90,28 @@ def test_telemetry():
     with pytest.raises(KeyError), t.span(("x",)):
         raise KeyError
     assert json.dumps(seen) and folded
+
+
+def test_runner_keeps_definitions_and_goes_on_under_a_new_driver(spark, folder):
+    from strandlog.operators import links
+
+    scratch, rows = folder
+    home, got = scratch.path("home"), []
+    a = live.Runner(spark, scratch.path("in"), home)
+    a.links.create(links.Link("all", links.Source("all"), lambda df: F.col("event_type").isNotNull(), backfill=True), 0)
+    run(a.start_link("all", available_now=True))
+    key = a.subscribe("stream", "x", "s", lambda df, n: got.extend(r.version for r in df.collect()), available_now=True)
+    run(a.queries[f"subscription {key}"])
+    a.close()
+    more(spark, scratch, rows[5:])
+    b = live.Runner(spark, scratch.path("in"), home)
+    assert [(x.name, x.status) for x in b.links.list()] == [("all", "running")] and b.subscriptions.exists(key)
+    run(b.start_link("all", available_now=True))
+    run(b.start_subscription(key, lambda df, n: got.extend(r.version for r in df.collect()), available_now=True))
+    made = spark.read.parquet(b.link_path("all"))
+    assert sorted(r.version for r in made.collect()) == list(range(len(rows))) and b.links.get("all").processed == len(rows)
+    assert sorted(got) == sorted(r["version"] for r in rows if r["stream_id"] == "x")
+    b.delete_link("all")
+    b.unsubscribe(key)
+    c = live.Runner(spark, scratch.path("in"), home)
+    assert not c.links.list() and not c.subscriptions.list() and not b.queries
