@@ -2,7 +2,7 @@
 
 Layout: ``data/<append>/`` Parquet of each append, ``commits/<n>.json`` naming it.  A commit file
 is created exclusively, so of two writers with one number only one wins; data that no
-commit names does not exist.  ``checkpoints/<n>.json`` names tables that stand for the first n
+commit names does not exist.  ``data/staged-*`` holds an append's rows until they have versions.  ``checkpoints/<n>.json`` names tables that stand for the first n
 commits; a store object reads a commit file once.
 """
 
@@ -141,19 +141,25 @@ class Store:
         number checks its expectation against the new state and tries again.
         """
         new = events if isinstance(events, DataFrame) else self._frame(list(events))
-        n = new.count()
-        for _ in range(RETRIES):
-            done = self.commits()
-            current, floor = self._head(stream_id, done)
-            check_expected_version(expected, current, gateway)
-            if not n:
-                return current
-            first = max(current, floor) + 1
-            folder = f"append-{uuid.uuid4().hex}"
-            self._numbered(new, stream_id, first).write.option("compression", "zstd").parquet(f"{self.path}/data/{folder}")
-            if self._commit(self._number(done), {"kind": "append", "folder": folder, "heads": {stream_id: first + n - 1}}):
-                return first + n - 1
-        raise Conflict(f"no commit after {RETRIES} tries")
+        check_expected_version(expected, self.version(stream_id), gateway)  # before the work; it counts only below
+        staged = f"staged-{uuid.uuid4().hex}"
+        try:
+            rows, counts = self._staged(new, staged)
+            n = sum(k for _, k in counts)
+            for _ in range(RETRIES):
+                done = self.commits()
+                current, floor = self._head(stream_id, done)
+                check_expected_version(expected, current, gateway)
+                if not n:
+                    return current
+                first = max(current, floor) + 1
+                folder = f"append-{uuid.uuid4().hex}"
+                self._numbered(rows, counts, stream_id, first).write.option("compression", "zstd").parquet(f"{self.path}/data/{folder}")
+                if self._commit(self._number(done), {"kind": "append", "folder": folder, "heads": {stream_id: first + n - 1}}):
+                    return first + n - 1
+            raise Conflict(f"no commit after {RETRIES} tries")
+        finally:
+            delete_path(self.spark, f"{self.path}/data/{staged}")
 
     def append_auto(self, stream_id: str, events) -> int:
         return self.append(stream_id, ANY_VERSION, events)
@@ -176,15 +182,26 @@ class Store:
             rows.append((e.get("event_id"), e["event_type"], data, e.get("metadata"), e.get("tags")))
         return self.spark.createDataFrame(rows, NEW_EVENT).coalesce(1) if rows else self.spark.createDataFrame([], NEW_EVENT)
 
-    def _numbered(self, new: DataFrame, stream_id: str, first: int) -> DataFrame:
-        """Versions in the order the rows come in; large frames are numbered by their partitions' counts."""
+    def _staged(self, new: DataFrame, folder: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """The rows written with their partition and their place in it, and the rows of each partition.
+
+        The counts are those of the written table.  The plan of ``new`` run again for them, or for
+        another try, may have other partitions: adaptive execution sizes them by the columns in use.
+        """
+        path = f"{self.path}/data/{folder}"
+        rows = with_defaults(new).withColumn("__id", F.monotonically_increasing_id()).select("__id", "event_id", "event_type", "data", "metadata", "tags")
+        rows.write.option("compression", "zstd").parquet(path)
+        rows = self.spark.read.schema(rows.schema).parquet(path)
+        part = F.shiftright("__id", 33)
+        return rows, sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+
+    def _numbered(self, rows: DataFrame, counts: list[tuple[int, int]], stream_id: str, first: int) -> DataFrame:
+        """Versions of staged rows in the order they came in, by their partitions' counts."""
         clock = self.spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
-        rows = with_defaults(new).withColumn("__id", F.monotonically_increasing_id())
         part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-        counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
         starts, total = [], first
         for p, n in counts:
-            starts += [F.lit(p), F.lit(total)]
+            starts += [F.lit(p), F.lit(total).cast("long")]
             total += n
         return rows.select(
             F.lit(stream_id).alias("stream_id"), (F.create_map(*starts)[part] + place).cast("long").alias("version"), "event_id", "event_type", "data", "metadata", "tags",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlog.operators import archive, causation, fold, links, retention, schema_registry, snapshots, streams, subscriptions, temporal
-from strandlog.runtime import Scratch
+from strandlog.runtime import Scratch, list_names
 from strandlog.sources.log import ANY_VERSION, NO_STREAM, canonical
 from strandlog.store import Conflict, Store, StoreCatalog
 
@@ -267,6 +267,26 @@ def test_store_appends(spark):
     assert Store(spark, path).version("s") == 2
 
 
+def test_store_numbers_the_rows_that_it_writes(spark):
+    """A plan run a second time for fewer columns may have fewer, larger partitions; versions must be those of the rows written."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("id")).select("id", F.col("id").cast("string").alias("event_id"), F.lit("T").alias("event_type"), F.concat(*[F.sha2(F.concat("id", F.lit(f"/{i}")), 256) for i in range(4)]).alias("data")).orderBy("id")
+        store = Store(spark, Scratch(spark, "t").path("store"))
+        assert store.append("s", NO_STREAM, rows.where("id % 5 > 0").drop("id")) == 15999
+        store.compact()
+        assert store.version("s") == 15999 and store.append("s", 15999, rows.where("id % 5 = 0").drop("id")) == 19999
+        got = [(r.version, int(r.event_id)) for r in store.log().select("version", "event_id").orderBy("version").collect()]
+        assert got == list(enumerate([i for i in range(20000) if i % 5] + list(range(0, 20000, 5))))
+        assert not any(n.startswith("staged") for n in list_names(spark, f"{store.path}/data"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_two_writers_never_share_a_version(spark, monkeypatch):
     path = Scratch(spark, "t").path("store")
     a, b = Store(spark, path), Store(spark, path)
